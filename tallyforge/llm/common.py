@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
     """Arrow batches cut so that their texts hold about `limit` bytes at most (a longer text comes alone); a null text is ''."""
     for batch in batches:
         column = batch.column(text)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > limit:
