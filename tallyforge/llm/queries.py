@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import exact_dedup
+from tallyforge.llm import chat_format, exact_dedup, language_id, packing, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_chat_formatting": chat_format.op6_chat_formatting,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op6_chat_formatting": chat_format.ORACLE,
 }
