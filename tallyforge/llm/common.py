@@ -74,3 +74,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
         if start < batch.num_rows:
             part = batch.slice(start)
             yield part, [t or "" for t in part.column(text).to_pylist()]
+
+
+def with_totals(rows: DataFrame, keys: list[str], spread: str, salts: int = 32, **totals: tuple[Column, Column]) -> DataFrame:
+    """rows with totals of their group: name=(aggregate over rows, aggregate over the partial column of that name).
+
+    Each group is cut by a hash of `spread`; the parts are reduced, their totals meet, and the answer goes back to the parts. So no task reads a whole group, however
+    large it is.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    parts = rows.groupBy(*keys, salt.alias("_salt")).agg(*[of_rows.alias(name) for name, (of_rows, _) in totals.items()])
+    whole = parts.groupBy(*keys).agg(*[of_parts.alias(name) for name, (_, of_parts) in totals.items()])
+    return rows.withColumn("_salt", salt).join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
