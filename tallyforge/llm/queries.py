@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat_format, exact_dedup, language_id, packing, toxicity
+from tallyforge.llm import chat_format, exact_dedup, language_id, near_dedup, packing, page_text, pieces, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_html_extraction": page_text.op3_html_extraction,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
