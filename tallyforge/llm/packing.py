@@ -14,8 +14,12 @@ and repeated rows are separate pieces; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +32,20 @@ from tallyforge.llm.common import Scratch, chunks, table
 SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
-#: Distinct words whose ids a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 200_000
+#: Distinct words whose ids a worker remembers; beyond that it forgets all and starts anew.
+REMEMBERED = 600_000
+#: A run of ASCII symbols at the end of a word, after a letter or digit, is a pre-token of its own.
+TAIL = re.compile("(.*[a-z0-9\xe0-\xf6\xf8-\xff])([.,;:!?&%$*#|]+)", re.S)
+#: Byte-level vocabularies write a byte as itself if it is a printable Latin-1 character, else as the next character from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+LETTER_OF_BYTE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Words(dict):
     """Ids of a text, white space apart, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order and each word is encoded once.
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order and each word is encoded once. It also ignores case,
+    so words are kept in ASCII lower case.
     """
 
     def __init__(self, vocabulary: str):
@@ -44,23 +54,42 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self[""] = b""
+        self.model = self.tokenizer.model
+        self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z(?!)")
+
+    def __missing__(self, word: str) -> bytes:
+        if tail := TAIL.fullmatch(word):
+            found = self[tail[1]] + self[tail[2]]
+        elif word.isalpha() and (word.isascii() or (word == "".join(map(str.lower, word)) and unicodedata.is_normalized("NFC", word))):
+            # nothing to normalise or split: the model itself, over the word's bytes
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(LETTER_OF_BYTE))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            found = self._whole(word)
+        self[word] = found
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if fresh := [w for w in set(words) if w not in self]:
-            if len(self) > REMEMBERED:
-                self.clear()
-                self[""] = b""
-                fresh = [w for w in set(words) if w]
-            for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(found.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        if self.marks.search(text):
+            return self._whole(text)
+        if len(self) > REMEMBERED:
+            self.clear()
+        plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return b"".join(map(self.__getitem__, plain.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+@lru_cache(maxsize=1)
+def words_of(vocabulary: str) -> Words:
+    """One for each worker process: loading a vocabulary costs more than a small task."""
+    return Words(vocabulary)
 
 
 def cut(size: int, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = Words(vocabulary), TaskContext.get().partitionId()
+        words, task = words_of(vocabulary), TaskContext.get().partitionId()
         end, seen = np.asarray([end_id], "<u4").tobytes(), np.zeros(size + 1, np.int64)
         for part, texts in chunks(batches):
             rows: list[tuple] = []
