@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tallyforge.llm.common import Scratch, chunks, fold, table
 
 BITS = 14
 ORDERS = (1, 2, 3, 4)
-SAMPLE = 1000
+SAMPLE = 480
 CUTS = (40, 120)
 CLASSES = 200
 SHARP = 4.0
@@ -95,12 +96,12 @@ def _examples(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def fit(examples: list, languages: list[str], ridge: float = 0.3) -> Model:
+def fit(examples: pd.DataFrame, languages: list[str], ridge: float = 0.3) -> Model:
     code = codewords(len(languages))
     x = np.zeros((len(examples), 1 << BITS), np.float32)
-    y = np.asarray([e.lang for e in examples])
-    for i, e in enumerate(examples):
-        x[i, np.asarray(e.bucket)] = e.share
+    y = examples["lang"].to_numpy()
+    for i, (bucket, share) in enumerate(zip(examples["bucket"], examples["share"], strict=True)):
+        x[i, bucket] = share
     mean = x.mean(axis=0)
     scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
     x -= mean
@@ -132,9 +133,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     drawn = known.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang", F.pmod(F.shiftright(draw, 20), F.lit(1 << 30)).alias("at"))
     scratch = Scratch(docs.sparkSession, "language")
     examples = scratch.save(drawn.mapInArrow(_examples(languages), "lang int, bucket array<int>, share array<float>"), "examples")
-    found = examples.orderBy("lang", F.xxhash64("bucket", "share")).collect()  # about sample * 3 rows of at most 2**BITS numbers
+    found = examples.orderBy("lang", F.xxhash64("bucket", "share")).toArrow().to_pandas()  # about sample * 3 rows of at most 2**BITS numbers
     scratch.drop(examples)
-    return fit(found, languages) if found else None
+    return fit(found, languages) if len(found) else None
 
 
 def decode(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
