@@ -39,7 +39,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     if clash.isEmpty():
         rows = rows.drop("norm")
     else:  # the rows of such a hash are told apart by their text
-        rows = rows.join(clash.withColumn("hit", F.lit(True)), "key", "left").withColumn("exact", F.when("hit", F.col("norm")).otherwise(F.lit(""))).drop("norm", "hit")
+        rows = rows.join(clash.withColumn("hit", F.lit(True)), "key", "left").withColumn("exact", F.when(F.col("hit"), F.col("norm")).otherwise(F.lit(""))).drop("norm", "hit")
     rows = scratch.save(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")), "rows")
 
     group = ["key", "exact"]
