@@ -152,7 +152,7 @@ SCONTO -0,20
 PASTA BARILLA 500G 2,50
 MELE 2 x 1,50 3,00
 RESO BOTTIGLIA 0,50
-SUBTOTALE 6,00
+SUBTOTALE 6,20
 TOTALE COMPLESSIVO 6,00
 CONTANTI 10,00
 RESTO 4,00"""
@@ -161,7 +161,7 @@ RESTO 4,00"""
 def test_a_whole_receipt(spark):
     r = receipts.parse(spark.createDataFrame([(1, TEXT), (2, None), (3, "")], "id int, text string"), now="2026-07-01").orderBy("id").collect()
     one = r[0]
-    assert (one.supplier.value, one.date.value, one.time, one.total.value, one.subtotal, one.payment.value, one.tax_number.value, one.tax_number.confidence) == ("SUPERMERCATO DESPAR S.R.L.", "2026-06-15", "14:30", 6.0, 6.0, "contanti", "P.IVA 01234567897", 95)
+    assert (one.supplier.value, one.date.value, one.time, one.total.value, one.subtotal, one.payment.value, one.tax_number.value, one.tax_number.confidence) == ("SUPERMERCATO DESPAR S.R.L.", "2026-06-15", "14:30", 6.0, 6.2, "contanti", "P.IVA 01234567897", 95)
     assert one.address.value == "VIA GARIBALDI 12 - 20100 MILANO"
     assert [(i.description, i.line_total, i.discount) for i in one["items"]] == [("PANE FRESCO", 1.0, 0.2), ("PASTA BARILLA 500G", 2.5, 0.0), ("MELE 2 x 1,50", 3.0, 0.0), ("RESO BOTTIGLIA", -0.5, 0.0)]
     assert one.vat is None and one.flags == []
