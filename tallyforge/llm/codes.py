@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _STEP, np.uint64), np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_held: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """step**i and step**-i modulo 2**64, for i below n."""
-    up, down = _powers(1 << max(16, (n - 1).bit_length()))
+    """step**i and step**-i modulo 2**64, for i below n. The longest made so far is kept for the next call."""
+    if not _held or len(_held[0][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, _STEP, np.uint64), np.full(size, pow(_STEP, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _held[:] = [(np.cumprod(up, out=up), np.cumprod(down, out=down))]
+    up, down = _held[0]
     return up[:n], down[:n]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,17 +16,37 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 
 
+#: Rows that travel to Python at once. The session's default would hold tens of MB of text for each task, in the JVM and in Python.
+ROWS_AT_ONCE = 500
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session without one (a local test) gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +57,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
+        lean(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
@@ -59,21 +81,24 @@ def fold(number: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(number).cast("string").cast("binary") if isinstance(number, str) else number.cast("string").cast("binary")) % modulus
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut so that their texts hold about `limit` bytes at most (a longer text comes alone); a null text is ''."""
-    for batch in batches:
-        column = batch.column(text)
-        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-        start = held = 0
-        for i, n in enumerate(sizes):
-            if i > start and held + n > limit:
-                part = batch.slice(start, i - start)
+    try:
+        for batch in batches:
+            column = batch.column(text)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            start = held = 0
+            for i, n in enumerate(sizes):
+                if i > start and held + n > limit:
+                    part = batch.slice(start, i - start)
+                    yield part, [t or "" for t in part.column(text).to_pylist()]
+                    start, held = i, 0
+                held += n
+            if start < batch.num_rows:
+                part = batch.slice(start)
                 yield part, [t or "" for t in part.column(text).to_pylist()]
-                start, held = i, 0
-            held += n
-        if start < batch.num_rows:
-            part = batch.slice(start)
-            yield part, [t or "" for t in part.column(text).to_pylist()]
+    finally:
+        release()
 
 
 def with_totals(rows: DataFrame, keys: list[str], spread: str, salts: int = 32, **totals: tuple[Column, Column]) -> DataFrame:

@@ -33,7 +33,7 @@ SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 #: Distinct words whose ids a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: A run of ASCII symbols at the end of a word, after a letter or digit, is a pre-token of its own.
 TAIL = re.compile("(.*[a-z0-9\xe0-\xf6\xf8-\xff])([.,;:!?&%$*#|]+)", re.S)
 #: Byte-level vocabularies write a byte as itself if it is a printable Latin-1 character, else as the next character from U+0100 on.

@@ -177,8 +177,8 @@ class Encoder(dict):
         if fresh and len(self) > REMEMBERED:
             self.clear()
             fresh = list({w for words in split for w in words})
-        for a in range(0, len(fresh), 50_000):
-            self.update(zip(fresh[a : a + 50_000], encode_words(fresh[a : a + 50_000], self.v), strict=True))
+        for a in range(0, len(fresh), 30_000):
+            self.update(zip(fresh[a : a + 30_000], encode_words(fresh[a : a + 30_000], self.v), strict=True))
         return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -32,9 +32,9 @@ from tallyforge.llm.common import Scratch, chunks, table, with_totals
 
 SPAN, GRAM = 400, 128
 #: Bytes scanned at once; a longer text is scanned in pieces that overlap by SPAN - 1 bytes.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Members from which a rank of round 3 is compared by an aggregation.
-MANY = 20_000
+MANY = 2_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -102,8 +102,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = t.encode("utf-8", "surrogatepass")
             rows += [(w["rank1"], w["back"], w["n"], w["lonely"], doc_id, mark, w["first"], raw[w["first"] : w["first"] + w["n"] + SPAN - 1]) for w in wanted]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for a in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 10_000], strict=True), kinds, strict=True)], names=["rank1", "back", "n", "lonely", "id", "mark", "first", "bytes"])
+        for a in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)], names=["rank1", "back", "n", "lonely", "id", "mark", "first", "bytes"])
 
 
 def _starts(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
-def _whole_ranks(rows: pa.Table, most: int = 4000) -> Iterator[tuple[int, int]]:
+def _whole_ranks(rows: pa.Table, most: int = 1000) -> Iterator[tuple[int, int]]:
     """Slices of whole ranks of about `most` rows."""
     rank = rows.column("rank1").to_numpy()
     ends = np.append(np.flatnonzero(rank[1:] != rank[:-1]) + 1, len(rank))
@@ -174,8 +174,8 @@ def _whole_ranks(rows: pa.Table, most: int = 4000) -> Iterator[tuple[int, int]]:
 
 def _by_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            rows = pa.Table.from_batches([batch.slice(a, 2000)])
+        for a in range(0, batch.num_rows, 1000):
+            rows = pa.Table.from_batches([batch.slice(a, 1000)])
             member, number, key = _starts(rows)
             take = pa.array(member)
             first = (rows.column("first").to_numpy().astype(np.int64)[member] + number).astype(np.int32)
