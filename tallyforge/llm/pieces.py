@@ -192,13 +192,33 @@ def encoder_of(model: str) -> Encoder:
     return Encoder(model)
 
 
+def gathered(parts: Iterator[tuple[pa.RecordBatch, list[str]]], limit: int = 4_000_000) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
+    """Groups of parts with about `limit` characters: every search of all pieces has a fixed cost, so it should serve many texts."""
+    group, held = [], 0
+    for part in parts:
+        group.append(part)
+        held += sum(map(len, part[1]))
+        if held >= limit:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    for group in gathered(chunks(batches)):
+        ids = iter(encoder.encode([t for _, texts in group for t in texts]))
+        for part, texts in group:
+            yield part, texts, [next(ids) for _ in texts]
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
-        for part, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encoder.encode(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for part, _, ids in _encoded(batches, encoder):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -221,9 +241,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
-        for part, texts in chunks(batches):
+        for part, texts, found in _encoded(batches, encoder):
             rows = []
-            for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            for t, ids in zip(texts, found, strict=True):
                 back = encoder.decode(ids)
                 rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
