@@ -29,7 +29,7 @@ from tallyforge.llm.common import chunks, table
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Distinct words a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 _NONE = np.int64(1) << 40
 
 
@@ -192,7 +192,7 @@ def encoder_of(model: str) -> Encoder:
     return Encoder(model)
 
 
-def gathered(parts: Iterator[tuple[pa.RecordBatch, list[str]]], limit: int = 4_000_000) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
+def gathered(parts: Iterator[tuple[pa.RecordBatch, list[str]]], limit: int = 8_000_000) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
     """Groups of parts with about `limit` characters: every search of all pieces has a fixed cost, so it should serve many texts."""
     group, held = [], 0
     for part in parts:
