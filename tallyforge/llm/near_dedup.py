@@ -5,10 +5,13 @@ collections of `side` half keys, a half key being `rows` minimum hashes; a table
 2 * side * rows minimum hashes, about the square root of what as many independent tables would take. Half keys that only one class has are left out before. With side 10 and rows 2, two sets of similarity 0.75 meet in no
 table with a chance of 0.0005.
 
-Classes that meet are candidates. A table cell with few classes gives all its pairs, a larger one gives links to its smallest class and between neighbours in order (so
+Classes that meet are candidates. A table cell with few classes gives all its pairs, a larger one first gives links to its smallest class and between neighbours in order (so
 a cell of n classes gives fewer than 2 n pairs). Candidates are confirmed on the full sets; confirmed links are joined into components. Then cells that still hold
-several components are compared again through one class of each, in the same way, until a round confirms no link. Pairs already compared are not compared again. The work thus stays
-in proportion to the cells, never to the square of a group.
+several components are compared again through one class of each, in the same way, until a round confirms no link. Pairs already compared are not compared again.
+
+These rounds bring large groups together at a cost in proportion to the cells, but leave pairs of large cells out. So at last every pair of classes in different
+components of a large cell is decided (`_left_over`): by an exact prefix filter, which drops only pairs that can't reach the threshold, and by comparing the full sets of all others.
+Pairs within a component can't change it and are not compared.
 
 Large cells, large classes and hubs of components are reduced in salted parts (`with_totals`), so no task reads a whole one.
 
@@ -34,6 +37,8 @@ SIDE, ROWS = 10, 2
 SMALL_CELL = 6
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, size=2 * SIDE * ROWS, dtype=np.uint64) | np.uint64(1)
 SALTS = 32
+#: Rows of a group that are joined at once.
+BLOCK = 1000
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +118,47 @@ def _pairs(cells: DataFrame) -> DataFrame:
     return first.unionByName(star).unionByName(chain).distinct()
 
 
+def _in_parts(count: str) -> Column:
+    """In how many parts a group of so many rows is joined."""
+    return F.ceil(F.col(count) / BLOCK).cast("int")
+
+
+def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: all pairs of ids of different components that can reach a similarity of 3/4, among the ids of cells with several components. docs: id, text; cells: key, id.
+
+    Sets x and y of n and m shingles reach it only with 3/7 (n + m) in common. With the shingles of each set in one order for all (rare ones first), the first common one then
+    stands at a place p of x (from 0) with n - p >= 3/7 (n + m), so 4 n - 7 p >= 3 m, and likewise in y. `spare` is 4 n - 7 p; as m >= 3/4 n, p is n / 4 at most.
+    Components meet by shingle before their members do, so a group of one component makes no pairs; shingles of many components and large components are joined in blocks.
+    """
+    rooted = cells.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")) if roots is not None else cells.select("key", "id", F.col("id").alias("root"))
+    lo_hi = {"lo": (F.min("root"), F.min("lo")), "hi": (F.max("root"), F.max("hi"))}
+    mixed = scratch.save(with_totals(rooted, ["key"], "id", **lo_hi).where("lo < hi").select("id", "root").distinct(), "mixed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            values, bounds = shingles(texts)
+            n = np.diff(bounds)
+            ids, root = (np.repeat(part.column(c).to_numpy(), n) for c in ("id", "root"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["id", "root", "n", "shingle"])
+
+    sets = scratch.save(docs.join(mixed, "id").dropDuplicates(["id"]).select("id", "root", "text").mapInArrow(run, "id long, root long, n long, shingle long"), "sets")
+    counted = with_totals(sets, ["shingle"], "id", found=(F.count("*"), F.sum("found")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("found", "shingle")) - 1
+    heads = counted.withColumn("p", place).where("p <= n / 4 and found > 1").select("shingle", "id", "root", "n", (4 * F.col("n") - 7 * F.col("p")).alias("spare"))
+    heads = with_totals(heads, ["shingle"], "id", **lo_hi).where("lo < hi").drop("lo", "hi")
+    members = scratch.save(with_totals(heads, ["shingle", "root"], "id", size=(F.count("*"), F.sum("size")), most=(F.max("spare"), F.max("most")), fewest=(F.min("n"), F.min("fewest"))), "members")
+    scratch.drop(sets)
+
+    groups = with_totals(members.select("shingle", "root", "size", "most", "fewest").distinct(), ["shingle"], "root", groups=(F.count("*"), F.sum("groups")))
+    one = groups.select("shingle", F.pmod(F.xxhash64("root"), _in_parts("groups")).alias("block"), F.col("root").alias("r"), F.col("size").alias("r_size"), F.col("most").alias("r_most"), F.col("fewest").alias("r_fewest"))
+    two = groups.select("shingle", F.explode(F.sequence(F.lit(0), _in_parts("groups") - 1)).alias("block"), F.col("root").alias("t"), F.col("size").alias("t_size"), F.col("most").alias("t_most"), F.col("fewest").alias("t_fewest"))
+    meet = one.join(two, ["shingle", "block"]).where("r < t and r_most >= 3 * t_fewest and t_most >= 3 * r_fewest").drop("block")
+    for c, x in (("r", "a"), ("t", "b")):
+        side = members.select("shingle", F.col("root").alias(c), F.pmod(F.xxhash64("id"), _in_parts("size")).alias("block"), F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("spare").alias(f"{x}_spare"))
+        meet = meet.withColumn("block", F.explode(F.sequence(F.lit(0), _in_parts(f"{c}_size") - 1))).join(side, ["shingle", c, "block"]).drop("block")
+    return meet.where("a_spare >= 3 * b_n and b_spare >= 3 * a_n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: int = 75) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= least * union. docs: id, text."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -151,7 +197,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return scratch.save(edges.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct(), "roots")
 
 
-def cluster(docs: DataFrame, most_rounds: int = 20) -> DataFrame:
+def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -170,8 +216,9 @@ def cluster(docs: DataFrame, most_rounds: int = 20) -> DataFrame:
     u, v = halves.where(F.col("at") < SIDE).select("id", F.col("key").alias("u")), halves.where(F.col("at") >= SIDE).select("id", F.col("key").alias("v"))
     cells = scratch.save(_sized(u.join(v, "id").select(F.xxhash64("u", "v").alias("key"), "id")), "cells")
 
+    large = cells.where(F.col("size") > SMALL_CELL)  # of the others all pairs are compared
     links = compared = roots = None
-    for _ in range(most_rounds):
+    while True:
         pairs = _pairs(cells)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -188,6 +235,12 @@ def cluster(docs: DataFrame, most_rounds: int = 20) -> DataFrame:
         root = F.coalesce("root", "id")
         cells = scratch.save(_sized(cells.select("key", "id").join(roots, "id", "left").groupBy("key", root.alias("r")).agg(F.min("id").alias("id")).select("key", "id")), "cells")
 
+    if compared is not None and not large.isEmpty():
+        pairs = scratch.save(_left_over(texts, large.select("key", "id"), roots, scratch).join(compared, ["a", "b"], "left_anti"), "pairs")
+        new = scratch.save(confirm(texts, pairs, scratch), "links")
+        if not new.isEmpty():
+            roots = components(new if links is None else links.unionByName(new), scratch)
+
     by_class = classes.withColumnRenamed("rep", "id")
     by_class = by_class.join(roots, "id", "left") if roots is not None else by_class.withColumn("root", F.lit(None).cast("long"))
     by_class = by_class.select(*mark, F.coalesce("root", "id").alias("root"))

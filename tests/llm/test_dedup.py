@@ -122,6 +122,43 @@ def test_near_dedup_of_a_chain_and_a_large_group(spark):
     assert near(spark, texts, ids) == plain_components(texts, ids)
 
 
+def test_near_dedup_of_a_template_family_compares_all_pairs(spark):
+    rng = random.Random(8)
+    template = sentence(rng, 300)  # two members share about 0.7; those with half of their own words in common are near copies
+    own = [(sentence(rng, 30), sentence(rng, 30)) for _ in range(240)]
+    for k in range(40):
+        own[3 * k + 1] = (own[3 * k][0], own[3 * k + 1][1])
+    texts = [f"{template} {a} {b}" for a, b in own] + [sentence(rng, 150) for _ in range(20)]
+    ids = rng.sample(range(10_000), len(texts))
+    want = plain_components(texts, ids)
+    assert len({root for _, root, _ in want.values()}) == len(texts) - 40
+    assert near(spark, texts, ids) == want
+
+
+@pytest.mark.parametrize("block", [3, near_dedup.BLOCK])
+def test_left_over_pairs_are_all_that_can_be_near(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    base = sentence(rng, 150).split()
+    texts = []
+    for _ in range(90):  # similarities from about 0.5 to 1, of different lengths
+        words = base[rng.randint(0, 25) : len(base) - rng.randint(0, 25)]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(500)}"
+        texts.append(" ".join(words))
+    texts += ["a b c", "c d e", "a b c d e f", "a b c d e f g", *(" ".join("abcdefgh"[: 4 + k]) for k in range(4))]
+    ids = rng.sample(range(1000), len(texts))
+    root = {i: i if k % 3 else ids[0] for k, i in enumerate(ids)}
+    cells = spark.createDataFrame([(7, i) for i in ids], "key long, id long")
+    roots = spark.createDataFrame([(i, r) for i, r in root.items() if i != r], "id long, root long")
+    rows = near_dedup._left_over(frame(spark, texts, ids).selectExpr("doc_id as id", "text"), cells, roots, Scratch(spark, "t")).collect()
+    got = {(r.a, r.b) for r in rows}
+    sets = dict(zip(ids, plain_sets(texts), strict=True))
+    near_pairs = {(min(i, j), max(i, j)) for i, j in combinations(ids, 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(rows) == len(got) and all(a < b and root[a] != root[b] for a, b in got)
+    assert near_pairs and got >= {(a, b) for a, b in near_pairs if root[a] != root[b]}
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup.cluster(frame(spark, [])).collect() == []
     assert near(spark, [None, "", "a b", "A B"], [4, 3, 2, 1]) == {4: (0, 4, True), 3: (0, 3, True), 2: (1, 1, False), 1: (1, 1, True)}
