@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that occur more than once are cut out of the texts."""
-    return substring_dedup.without_repeats(docs)
+    """Passages of over 50 words that repeat are cut out of the texts."""
+    return substring_dedup.without_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects the garbage that names them, which a large heap puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -66,7 +73,9 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        sweep(self.spark)
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that save() returned and that nothing reads any more."""
@@ -81,33 +90,31 @@ def fold(number: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(number).cast("string").cast("binary") if isinstance(number, str) else number.cast("string").cast("binary")) % modulus
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches cut so that their texts hold about `limit` bytes at most (a longer text comes alone); a null text is ''."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Arrow batches cut so that their texts hold about `limit` bytes at most (a longer text comes alone); a null text is empty. The column holds strings or bytes."""
     try:
         for batch in batches:
             column = batch.column(text)
+            empty = b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             start = held = 0
             for i, n in enumerate(sizes):
                 if i > start and held + n > limit:
                     part = batch.slice(start, i - start)
-                    yield part, [t or "" for t in part.column(text).to_pylist()]
+                    yield part, [t or empty for t in part.column(text).to_pylist()]
                     start, held = i, 0
                 held += n
             if start < batch.num_rows:
                 part = batch.slice(start)
-                yield part, [t or "" for t in part.column(text).to_pylist()]
+                yield part, [t or empty for t in part.column(text).to_pylist()]
     finally:
         release()
 
 
-def with_totals(rows: DataFrame, keys: list[str], spread: str, salts: int = 32, **totals: tuple[Column, Column]) -> DataFrame:
-    """rows with totals of their group: name=(aggregate over rows, aggregate over the partial column of that name).
+def with_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
+    """rows (saved ones, as they are read twice) with aggregates of their group, name=aggregate.
 
-    Each group is cut by a hash of `spread`; the parts are reduced, their totals meet, and the answer goes back to the parts. So no task reads a whole group, however
-    large it is.
+    The aggregation combines in each task before it shuffles, so a group sends one row from each. The join back has one row for each key on the other side, so a hot key is cut into
+    several tasks by Spark's adaptive skew join.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    parts = rows.groupBy(*keys, salt.alias("_salt")).agg(*[of_rows.alias(name) for name, (of_rows, _) in totals.items()])
-    whole = parts.groupBy(*keys).agg(*[of_parts.alias(name) for name, (_, of_parts) in totals.items()])
-    return rows.withColumn("_salt", salt).join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
+    return rows.join(rows.groupBy(*keys).agg(*[column.alias(name) for name, column in totals.items()]), keys)

@@ -13,7 +13,10 @@ These rounds bring large groups together at a cost in proportion to the cells, b
 components of a large cell is decided (`_left_over`): by an exact prefix filter, which drops only pairs that can't reach the threshold, and by comparing the full sets of all others.
 Pairs within a component can't change it and are not compared.
 
-Large cells, large classes and hubs of components are reduced in salted parts (`with_totals`), so no task reads a whole one.
+Most candidates are ruled out before texts move, by two bounds that never drop a link (`possible`): sizes, and the parities of the sets (an odd sketch).
+
+Large cells and hubs of components are combined in each task before they shuffle and joined with adaptive splitting (`with_totals`), large classes are reduced in salted parts, so no task
+reads a whole one.
 
 Defined cases: a null or empty text and one without words have an empty set and are linked with nothing (component: its own id); fewer than five words make one shingle
 of them all; repeated rows (same id) have the same set and are one class, so each gets the same row; a null id belongs to no component (null) and is kept; ties take the
@@ -37,6 +40,8 @@ SIDE, ROWS = 10, 2
 SMALL_CELL = 6
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, size=2 * SIDE * ROWS, dtype=np.uint64) | np.uint64(1)
 SALTS = 32
+#: Parities kept of each set.
+BITS = 1024
 #: Rows of a group that are joined at once.
 BLOCK = 1000
 
@@ -84,8 +89,25 @@ def half_keys(values: np.ndarray, bounds: np.ndarray, side: int = SIDE, rows: in
     return out
 
 
+def parities(values: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A row of `bits` parities for each set, as 64-bit numbers: every shingle flips one of them. Two sets differ in at least as many shingles as their parities differ in bits."""
+    n, out = len(bounds) - 1, []
+    place = (codes.mixed(values, 10) % np.uint64(bits)).astype(np.int64)
+    for a in range(0, n, 1000):
+        b = min(a + 1000, n)
+        own = slice(bounds[a], bounds[b])
+        owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        odd = (np.bincount(owner * bits + place[own], minlength=(b - a) * bits) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(b - a, bits), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, bits // 64), np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64).ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, two 64-bit fingerprints of the set, and the half keys."""
+    """id, n_shingles, two 64-bit fingerprints of the set, the half keys, and the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -94,16 +116,16 @@ def describe(docs: DataFrame) -> DataFrame:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
             more = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes.mixed(values, 9))))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(bounds)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in (sums, more)), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "print1", "print2", "keys"],
+                [part.column("doc_id"), pa.array(np.diff(bounds)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in (sums, more)), _lists(keys), _lists(parities(values, bounds))],
+                names=["id", "n_shingles", "print1", "print2", "keys", "odd"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n_shingles long, print1 long, print2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n_shingles long, print1 long, print2 long, keys array<long>, odd array<long>")
 
 
 def _sized(cells: DataFrame) -> DataFrame:
     """Cells with two members at least: key, id, size, least (the smallest id)."""
-    return with_totals(cells, ["key"], "id", size=(F.count("*"), F.sum("size")), least=(F.min("id"), F.min("least"))).where("size > 1")
+    return with_totals(cells, ["key"], size=F.count("*"), least=F.min("id")).where("size > 1")
 
 
 def _pairs(cells: DataFrame) -> DataFrame:
@@ -131,8 +153,10 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
     Components meet by shingle before their members do, so a group of one component makes no pairs; shingles of many components and large components are joined in blocks.
     """
     rooted = cells.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")) if roots is not None else cells.select("key", "id", F.col("id").alias("root"))
-    lo_hi = {"lo": (F.min("root"), F.min("lo")), "hi": (F.max("root"), F.max("hi"))}
-    mixed = scratch.save(with_totals(rooted, ["key"], "id", **lo_hi).where("lo < hi").select("id", "root").distinct(), "mixed")
+    lo_hi = {"lo": F.min("root"), "hi": F.max("root")}
+    rooted = scratch.save(rooted, "rooted")
+    mixed = scratch.save(with_totals(rooted, ["key"], **lo_hi).where("lo < hi").select("id", "root").distinct(), "mixed")
+    scratch.drop(rooted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -142,14 +166,18 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["id", "root", "n", "shingle"])
 
     sets = scratch.save(docs.join(mixed, "id").dropDuplicates(["id"]).select("id", "root", "text").mapInArrow(run, "id long, root long, n long, shingle long"), "sets")
-    counted = with_totals(sets, ["shingle"], "id", found=(F.count("*"), F.sum("found")))
+    counted = with_totals(sets, ["shingle"], found=F.count("*"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("found", "shingle")) - 1
     heads = counted.withColumn("p", place).where("p <= n / 4 and found > 1").select("shingle", "id", "root", "n", (4 * F.col("n") - 7 * F.col("p")).alias("spare"))
-    heads = with_totals(heads, ["shingle"], "id", **lo_hi).where("lo < hi").drop("lo", "hi")
-    members = scratch.save(with_totals(heads, ["shingle", "root"], "id", size=(F.count("*"), F.sum("size")), most=(F.max("spare"), F.max("most")), fewest=(F.min("n"), F.min("fewest"))), "members")
+    heads = scratch.save(heads, "heads")
     scratch.drop(sets)
+    mixed_heads = scratch.save(with_totals(heads, ["shingle"], **lo_hi).where("lo < hi").drop("lo", "hi"), "mixed-heads")
+    scratch.drop(heads)
+    members = scratch.save(with_totals(mixed_heads, ["shingle", "root"], size=F.count("*"), most=F.max("spare"), fewest=F.min("n")), "members")
+    scratch.drop(mixed_heads)
 
-    groups = with_totals(members.select("shingle", "root", "size", "most", "fewest").distinct(), ["shingle"], "root", groups=(F.count("*"), F.sum("groups")))
+    groups = scratch.save(members.select("shingle", "root", "size", "most", "fewest").distinct(), "groups")
+    groups = with_totals(groups, ["shingle"], groups=F.count("*"))
     one = groups.select("shingle", F.pmod(F.xxhash64("root"), _in_parts("groups")).alias("block"), F.col("root").alias("r"), F.col("size").alias("r_size"), F.col("most").alias("r_most"), F.col("fewest").alias("r_fewest"))
     two = groups.select("shingle", F.explode(F.sequence(F.lit(0), _in_parts("groups") - 1)).alias("block"), F.col("root").alias("t"), F.col("size").alias("t_size"), F.col("most").alias("t_most"), F.col("fewest").alias("t_fewest"))
     meet = one.join(two, ["shingle", "block"]).where("r < t and r_most >= 3 * t_fewest and t_most >= 3 * r_fewest").drop("block")
@@ -159,8 +187,20 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
     return meet.where("a_spare >= 3 * b_n and b_spare >= 3 * a_n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: int = 75) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= least * union. docs: id, text."""
+def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs that can reach a similarity of 3/4, by bounds that never drop one that does. facts: id, n, odd.
+
+    Sets of n and m shingles with that similarity differ in (n + m) / 7 shingles at most, so their sizes are within a factor 3/4 and their parities differ in no more bits than that.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("odd").alias(f"{side}_odd")), side)
+    differ = F.aggregate(F.zip_with("a_odd", "b_odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+    return pairs.where("4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n)").where(7 * differ <= F.col("a_n") + F.col("b_n")).select("a", "b")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, facts: DataFrame, scratch: Scratch, least: int = 75) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= least * union (least: 75 or more). docs: id, text; facts: id, n, odd."""
+    pairs = scratch.save(possible(pairs, facts), "possible")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     found = scratch.save(docs.join(wanted, "id").dropDuplicates(["id"]), "texts")
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
@@ -175,23 +215,26 @@ def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: int = 75
                 ok.append(common > 0 and 100 * common >= least * (len(p) + len(q) - common))
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+    scratch.drop(found)
+    scratch.drop(pairs)
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) of every id in links; root: the smallest id that can be reached. Alternates two steps until nothing changes: every larger neighbour of an id moves to the
     smallest of its neighbourhood; every smaller neighbour does."""
-    least = {"m": (F.min("b"), F.min("m"))}
     edges = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = with_totals(both, ["a"], "b", SALTS, **least).withColumn("m", F.least("a", "m"))
+        seen = with_totals(both, ["a"], m=F.min("b")).withColumn("m", F.least("a", "m"))
         large = scratch.save(seen.where("b > a or m < a").select(F.col("m").alias("a"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")).where("a < b").distinct(), "large")
-        back = with_totals(large.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a"], "b", SALTS, **least)
+        back = with_totals(large.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a"], m=F.min("b"))
         small = back.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         new = scratch.save(small, "small")
         stable = new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty()
         scratch.drop(large)
+        scratch.drop(edges)
         edges = new
         if stable:
             return scratch.save(edges.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct(), "roots")
@@ -210,11 +253,16 @@ def cluster(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
     by_salt = full.select(*mark, salt, "id").groupBy(*mark, "salt").agg(F.min("id").alias("id"))
     classes = scratch.save(by_salt.groupBy(*mark).agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = scratch.save(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "keys", "odd"), "reps")
+    facts = reps.select("id", "n", "odd")
     # a half key that no other class has can't make a cell, so only shared ones are combined
-    halves = scratch.save(_sized(reps.select("id", F.posexplode("keys").alias("at", "half")).select(F.xxhash64("at", "half").alias("key"), "id", "at")).select("id", "at", "key"), "halves")
+    halves = reps.select("id", F.posexplode("keys").alias("at", "half")).select(F.xxhash64("at", "half").alias("key"), "id", "at")
+    halves = scratch.save(halves.join(halves.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id", "at", "key"), "halves")
     u, v = halves.where(F.col("at") < SIDE).select("id", F.col("key").alias("u")), halves.where(F.col("at") >= SIDE).select("id", F.col("key").alias("v"))
-    cells = scratch.save(_sized(u.join(v, "id").select(F.xxhash64("u", "v").alias("key"), "id")), "cells")
+    met = scratch.save(u.join(v, "id").select(F.xxhash64("u", "v").alias("key"), "id"), "met")
+    scratch.drop(halves)
+    cells = scratch.save(_sized(met), "cells")
+    scratch.drop(met)
 
     large = cells.where(F.col("size") > SMALL_CELL)  # of the others all pairs are compared
     links = compared = roots = None
@@ -225,7 +273,7 @@ def cluster(docs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
         if pairs.isEmpty():
             break
-        new = scratch.save(confirm(texts, pairs, scratch), "links")
+        new = confirm(texts, pairs, facts, scratch)
         compared = pairs if compared is None else compared.unionByName(pairs)
         if new.isEmpty():
             break
@@ -233,11 +281,13 @@ def cluster(docs: DataFrame) -> DataFrame:
         roots = components(links, scratch)
         # next: cells that still hold several components, one class of each
         root = F.coalesce("root", "id")
-        cells = scratch.save(_sized(cells.select("key", "id").join(roots, "id", "left").groupBy("key", root.alias("r")).agg(F.min("id").alias("id")).select("key", "id")), "cells")
+        fewer = scratch.save(cells.select("key", "id").join(roots, "id", "left").groupBy("key", root.alias("r")).agg(F.min("id").alias("id")).select("key", "id"), "fewer")
+        cells = scratch.save(_sized(fewer), "cells")
+        scratch.drop(fewer)
 
     if compared is not None and not large.isEmpty():
         pairs = scratch.save(_left_over(texts, large.select("key", "id"), roots, scratch).join(compared, ["a", "b"], "left_anti"), "pairs")
-        new = scratch.save(confirm(texts, pairs, scratch), "links")
+        new = confirm(texts, pairs, facts, scratch)
         if not new.isEmpty():
             roots = components(new if links is None else links.unionByName(new), scratch)
 

@@ -1,37 +1,43 @@
-"""Suffix-array dedup (operator 9): every byte covered by a string of `span` bytes that also starts anywhere else is removed.
+"""Suffix-array dedup (operator 9): every byte covered by a string of `span` bytes that also starts anywhere else is removed. Method: ranks of sampled positions.
 
-Prefix doubling ranks positions by what follows them and joins ranks at growing offsets until a rank is unique or longer than the threshold. Ranking every byte would
-move hundreds of times the input, so the positions ranked here are samples that the text itself chooses: the sample of a start is the place of the least hash among the
-`GRAM`-byte strings inside its `span` bytes. Equal strings choose the same place, a run of neighbouring starts shares it, and there is a sample for about 140 bytes.
+The method dealt, prefix doubling, ranks positions by what follows them and joins ranks at growing offsets until a rank is unique or longer than the threshold. Over every byte that
+moves hundreds of times the input (README has figures), so another is used: the positions ranked are samples that the text itself chooses, and ranks are hashes. The sample of a start is
+the place of the least hash among the `gram`-byte strings inside its `span` bytes. Equal strings choose the same place, and a run of neighbouring starts shares it.
 
-Rounds, each a Spark sort and count of ranks that drops what is unique:
-1. rank of a sample: its GRAM bytes. A start whose sample is unique can't repeat.
+Rounds, each a Spark count of ranks that drops what is unique:
+1. rank of a sample: its `gram` bytes. A start whose sample is unique can't repeat.
 2. rank past the threshold: all bytes that the starts of a sample cover, from the first start to the end of the last one. If it occurs again, all these starts do.
 3. samples left (the ends of repeats, where only some starts of a sample repeat): one member of each rank of round 2 gives its bytes, and the starts of a round-1 rank are
    compared one by one, by distance to the sample and hash of their span. A rank with very many members is compared by a Spark aggregation, others inside one sorted pass.
 
 No step pairs documents up, and what moves is in proportion to the text.
 
-Defined cases: a null text is empty; a text shorter than `span` loses nothing; strings never cross documents; repeated rows are documents of their own, so each loses
-whatever is long enough; a null id is an id like others; an empty table gives an empty result; other columns are ignored. Hashes have 64 bits and two equal ones under one
-sample stand for equal bytes.
+Two thresholds, one scan of the whole text: a string of `SPAN` bytes that repeats consists of shorter ones that do. So the table is scanned for `SHORT` bytes, and only the regions that
+repeat there are scanned again for `SPAN`. Of the shorter repeats, those of over 50 words count as passages (`n_passage`); the pipeline's stage removes passages.
+
+Defined cases: a null text is empty; a text shorter than `span` loses nothing; texts of any length are scanned whole, in overlapping blocks; strings never cross documents; repeated rows
+are documents of their own, so each loses whatever is long enough; a null id is an id like others; an empty table gives an empty result; other columns are ignored, whatever their names.
+Hashes have 64 bits and two equal ones under one sample stand for equal bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import codes
 from tallyforge.llm.common import Scratch, chunks, table, with_totals
 
 SPAN, GRAM = 400, 128
-#: Bytes scanned at once; a longer text is scanned in pieces that overlap by SPAN - 1 bytes.
+#: Passages: runs of bytes in repeated strings of SHORT bytes (51 words of prose have as many) that hold so many whole words.
+SHORT, SHORT_GRAM, WORDS = 240, 64, 51
+#: Bytes scanned at once; a longer text is scanned in pieces that overlap by span - 1 bytes.
 BLOCK = 1 << 21
 #: Members from which a rank of round 3 is compared by an aggregation.
 MANY = 2_000
@@ -69,44 +75,53 @@ def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Round 1's samples: id, mark, first (start in the text), n (starts), back (from the first start to the sample), rank1, rank2. docs: id, mark, text."""
+#: What tells parts of documents apart: id, hash of the text, and where the part begins in the text.
+KEY = ["id", "mark", "at"]
+KEY_TYPES = "id long, mark int, at int"
+
+
+def _same_part(x: str, y: str) -> Column:
+    return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.mark") == F.col(f"{y}.mark")) & (F.col(f"{x}.at") == F.col(f"{y}.at"))
+
+
+def scan(parts: DataFrame, span: int, gram: int) -> DataFrame:
+    """Round 1's samples: id, mark, at, first (start in the part), n (starts), back (from the first start to the sample), rank1, rank2. parts: id, mark, at, raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, limit=BLOCK // 2):
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            ids, marks = part.column("id"), part.column("mark")
+        for part, raw in chunks(batches, "raw", BLOCK // 2):
             if len(raw) > 1 or len(raw[0]) <= BLOCK:
                 blocks = [(0, *_joined(raw))]
             else:
                 data = np.frombuffer(raw[0], np.uint8)
-                blocks = [(a, data[a : a + BLOCK + SPAN - 1], np.asarray([0, len(data[a : a + BLOCK + SPAN - 1])])) for a in range(0, len(data), BLOCK)]
+                blocks = [(a, data[a : a + BLOCK + span - 1], np.asarray([0, len(data[a : a + BLOCK + span - 1])])) for a in range(0, len(data), BLOCK)]
             for begin, data, bounds in blocks:
-                text, first, last, place, rank1, rank2 = samples(data, bounds)
+                text, first, last, place, rank1, rank2 = samples(data, bounds, span, gram)
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), marks.take(take), pa.array((first - bounds[text] + begin).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(rank1.view(np.int64)), pa.array(rank2.view(np.int64))],
-                    names=["id", "mark", "first", "n", "back", "rank1", "rank2"],
+                    [*(part.column(c).take(take) for c in KEY), pa.array((first - bounds[text] + begin).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(rank1.view(np.int64)), pa.array(rank2.view(np.int64))],
+                    names=[*KEY, "first", "n", "back", "rank1", "rank2"],
                 )
 
-    return docs.mapInArrow(run, "id long, mark int, first int, n int, back int, rank1 long, rank2 long")
+    return parts.mapInArrow(run, f"{KEY_TYPES}, first int, n int, back int, rank1 long, rank2 long")
+
 
+MEMBER = f"rank1 long, back int, n int, lonely boolean, {KEY_TYPES}, first int, bytes binary"
 
-MEMBER = "rank1 long, back int, n int, lonely boolean, id long, mark int, first int, bytes binary"
 
+def _members(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, "raw", BLOCK // 2):
+            rows = []
+            for *key, raw, wanted in zip(*(part.column(c).to_pylist() for c in KEY), texts, part.column("wanted").to_pylist(), strict=True):
+                rows += [(w["rank1"], w["back"], w["n"], w["lonely"], *key, w["first"], raw[w["first"] : w["first"] + w["n"] + span - 1]) for w in wanted]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            for a in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)], names=["rank1", "back", "n", "lonely", *KEY, "first", "bytes"])
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches, limit=BLOCK // 2):
-        rows = []
-        for doc_id, mark, t, wanted in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(), texts, part.column("wanted").to_pylist(), strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
-            rows += [(w["rank1"], w["back"], w["n"], w["lonely"], doc_id, mark, w["first"], raw[w["first"] : w["first"] + w["n"] + SPAN - 1]) for w in wanted]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for a in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)], names=["rank1", "back", "n", "lonely", "id", "mark", "first", "bytes"])
+    return run
 
 
-def _starts(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _starts(table_: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every start of every member: its member, its number there, and a key of its rank, its distance to the sample and its bytes."""
     data, bounds = _joined(table_.column("bytes").to_pylist())
     n = table_.column("n").to_numpy().astype(np.int64)
@@ -115,26 +130,25 @@ def _starts(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = bounds[member] + number
     far = (table_.column("back").to_numpy().astype(np.int64)[member] - number).astype(np.uint64)
     rank = table_.column("rank1").to_numpy().view(np.uint64)[member]
-    return member, number, codes.mixed(codes.mixed(codes.Runs(data).of(at, at + SPAN), 7) ^ codes.mixed(rank + far * np.uint64(0x9E3779B97F4A7C15), 8), 9)
+    return member, number, codes.mixed(codes.mixed(codes.Runs(data).of(at, at + span), 7) ^ codes.mixed(rank + far * np.uint64(0x9E3779B97F4A7C15), 8), 9)
 
 
 def _spans(table_: pa.Table, member: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring starts as rows: id, mark, first, last start."""
+    """Runs of neighbouring starts as rows: id, mark, at, first, last start."""
     new = np.ones(len(member), bool)
     new[1:] = (member[1:] != member[:-1]) | (number[1:] != number[:-1] + 1)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(member))[: len(a)] - 1
     take = pa.array(member[a])
     first = table_.column("first").to_numpy().astype(np.int64)[member[a]]
-    return pa.RecordBatch.from_arrays([table_.column("id").take(take).combine_chunks(), table_.column("mark").take(take).combine_chunks(), pa.array((first + number[a]).astype(np.int32)), pa.array((first + number[b]).astype(np.int32))], names=["id", "mark", "first", "last"])
+    return pa.RecordBatch.from_arrays([*(table_.column(c).take(take).combine_chunks() for c in KEY), pa.array((first + number[a]).astype(np.int32)), pa.array((first + number[b]).astype(np.int32))], names=[*KEY, "first", "last"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Members sorted by rank1 to the starts that occur in two of them. Holds whole ranks only, a batch of them at a time."""
-    held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        member, number, key = _starts(rows)
+        member, number, key = _starts(rows, span)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         again = np.zeros(len(order), bool)
@@ -143,22 +157,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again &= np.asarray(rows.column("lonely").to_pylist(), bool)[member]
         return _spans(rows, member[again], number[again])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rank = batch.column("rank1").to_numpy()
-        cut = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on in the next batch
-        if cut:
-            rows = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-            for a, b in _whole_ranks(rows):
-                yield done(rows.slice(a, b - a))
-        elif len(held) > 1 and held[0].column("rank1")[0].as_py() != rank[-1]:
-            rows, held = pa.Table.from_batches(held[:-1]), [batch]
-            yield done(rows)
-    if held:
-        yield done(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rank = batch.column("rank1").to_numpy()
+            cut = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on in the next batch
+            if cut:
+                rows = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+                for a, b in _whole_ranks(rows):
+                    yield done(rows.slice(a, b - a))
+            elif len(held) > 1 and held[0].column("rank1")[0].as_py() != rank[-1]:
+                rows, held = pa.Table.from_batches(held[:-1]), [batch]
+                yield done(rows)
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return run
 
 
 def _whole_ranks(rows: pa.Table, most: int = 1000) -> Iterator[tuple[int, int]]:
@@ -172,85 +190,155 @@ def _whole_ranks(rows: pa.Table, most: int = 1000) -> Iterator[tuple[int, int]]:
             a = int(b)
 
 
-def _by_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            rows = pa.Table.from_batches([batch.slice(a, 1000)])
-            member, number, key = _starts(rows)
-            take = pa.array(member)
-            first = (rows.column("first").to_numpy().astype(np.int64)[member] + number).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(rows.column(c).take(take).combine_chunks() for c in ("lonely", "id", "mark")), pa.array(first)], names=["key", "lonely", "id", "mark", "first"])
+def _by_start(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                rows = pa.Table.from_batches([batch.slice(a, 1000)])
+                member, number, key = _starts(rows, span)
+                take = pa.array(member)
+                first = (rows.column("first").to_numpy().astype(np.int64)[member] + number).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(rows.column(c).take(take).combine_chunks() for c in ("lonely", *KEY)), pa.array(first)], names=["key", "lonely", *KEY, "first"])
+
+    return run
 
 
-def repeats(docs: DataFrame, scratch: Scratch, many: int = MANY) -> DataFrame:
-    """id, mark, first, last: runs of starts whose span occurs anywhere else. docs: id, mark, text."""
+def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """id, mark, at, first, last: runs of starts whose span occurs anywhere else, as a saved table. parts: id, mark, at, raw."""
     # round 1
-    found = scratch.save(scan(docs), "samples")
-    again = with_totals(found, ["rank1"], "id", of1=(F.count("*"), F.sum("of1"))).where("of1 > 1").drop("of1")
-    # round 2
-    member = F.struct("id", "mark", "first")
-    ranked = scratch.save(with_totals(again, ["rank1", "back", "n", "rank2"], "id", of2=(F.count("*"), F.sum("of2")), chosen=(F.min(member), F.min("chosen"))), "ranked")
+    found = scratch.save(scan(parts, span, gram), "samples")
+    again = scratch.save(found.join(found.groupBy("rank1").count().where("count > 1"), "rank1", "left_semi"), "again")
     scratch.drop(found)
-    whole = ranked.where("of2 > 1").select("id", "mark", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    # round 3
-    chosen = ranked.where(member == F.col("chosen")).select("rank1", "back", "n", "id", "mark", "first", (F.col("of2") == 1).alias("lonely")).distinct()
-    left = with_totals(chosen, ["rank1"], "id", ranks=(F.count("*"), F.sum("ranks")), alone=(F.sum(F.col("lonely").cast("int")), F.sum("alone"))).where("ranks > 1 and alone > 0")
-    wanted = left.groupBy("id", "mark").agg(F.collect_list(F.struct("rank1", "back", "n", "first", "lonely", (F.col("ranks") > many).alias("hot"))).alias("wanted"))
-    own = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.mark") == F.col("w.mark"))).select("d.id", "d.mark", "d.text", "w.wanted")
-    own = own.dropDuplicates(["id", "mark"])  # of repeated rows one speaks for all
-    few = own.withColumn("wanted", F.filter("wanted", lambda w: ~w["hot"])).mapInArrow(_members, MEMBER)
-    out = whole.unionByName(few.repartition("rank1").sortWithinPartitions("rank1").mapInArrow(_compare, "id long, mark int, first int, last int"))
-    if not left.where(F.col("ranks") > many).isEmpty():
-        hot = own.withColumn("wanted", F.filter("wanted", lambda w: w["hot"])).mapInArrow(_members, MEMBER).mapInArrow(_by_start, "key long, lonely boolean, id long, mark int, first int")
-        hot = with_totals(hot, ["key"], "id", times=(F.count("*"), F.sum("times"))).where("times > 1 and lonely")
-        out = out.unionByName(hot.select("id", "mark", "first", F.col("first").alias("last")))
+    # round 2
+    rank, member = ["rank1", "back", "n", "rank2"], F.struct(*KEY, "first")
+    ranks = scratch.save(again.groupBy(*rank).agg(F.count("*").alias("of2"), F.min(member).alias("chosen")), "ranks")
+    whole = again.join(ranks.where("of2 > 1"), rank, "left_semi").select(*KEY, "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    # round 3: the ranks that agree with another one at the sample, if one of them at least is alone with its bytes
+    chosen = ranks.select("rank1", "back", "n", "chosen.*", (F.col("of2") == 1).alias("lonely"))
+    left = chosen.join(ranks.groupBy("rank1").agg(F.count("*").alias("ranks"), F.max(F.col("of2") == 1).alias("alone")).where("ranks > 1 and alone"), "rank1")
+    left = scratch.save(left.select("rank1", "back", "n", *KEY, "first", "lonely", (F.col("ranks") > many).alias("hot")), "left")
+    wanted = left.groupBy(*KEY).agg(F.collect_list(F.struct("rank1", "back", "n", "first", "lonely", "hot")).alias("wanted"))
+    own = parts.alias("d").join(wanted.alias("w"), _same_part("d", "w")).select(*[f"d.{c}" for c in KEY], "d.raw", "w.wanted")
+    own = own.dropDuplicates(KEY)  # of repeated rows one speaks for all
+    few = own.withColumn("wanted", F.filter("wanted", lambda w: ~w["hot"])).mapInArrow(_members(span), MEMBER)
+    spans = f"{KEY_TYPES}, first int, last int"
+    out = whole.unionByName(few.repartition("rank1").sortWithinPartitions("rank1").mapInArrow(_compare(span), spans))
+    if not left.where("hot").isEmpty():
+        hot = own.withColumn("wanted", F.filter("wanted", lambda w: w["hot"])).mapInArrow(_members(span), MEMBER).mapInArrow(_by_start(span), f"key long, lonely boolean, {KEY_TYPES}, first int")
+        hot = with_totals(scratch.save(hot, "hot"), ["key"], times=F.count("*")).where("times > 1 and lonely")
+        out = out.unionByName(hot.select(*KEY, "first", F.col("first").alias("last")))
+    out = scratch.save(out, "spans")
+    for table_ in (again, ranks, left):
+        scratch.drop(table_)
     return out
 
 
-def _uncovered(raw: bytes, firsts: list[int], lasts: list[int]) -> tuple[bytes, int, int]:
-    """What is left of a text, bytes removed, maximal removed runs."""
-    if not firsts:
-        return raw, 0, 0
+def _regions(firsts: np.ndarray, lasts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes covered by spans that start from firsts to lasts: begins and ends."""
+    order = np.argsort(firsts, kind="stable")
+    a, b = firsts[order], np.maximum.accumulate(lasts[order] + span)
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > b[:-1]
+    at = np.flatnonzero(new)
+    return a[at], b[np.append(at[1:], len(a))[: len(at)] - 1]
+
+
+def _long_regions(shorter: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text the regions where a string of `span` bytes can repeat, given the repeats of `shorter` bytes, as parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, "raw", BLOCK // 2):
+            rows = []
+            for doc_id, mark, raw, firsts, lasts in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(), texts, part.column("firsts").to_pylist(), part.column("lasts").to_pylist(), strict=True):
+                for a, b in zip(*_regions(np.asarray(firsts, np.int64), np.asarray(lasts, np.int64), shorter), strict=True):
+                    if b - a >= span:
+                        rows.append((doc_id, mark, int(a), raw[a:b]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=[*KEY, "raw"])
+
+    return run
+
+
+def _without(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> bytes:
     change = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(change, np.asarray(firsts), 1)
-    np.add.at(change, np.asarray(lasts) + SPAN, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    edges = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), edges
+    np.add.at(change, begins, 1)
+    np.add.at(change, ends, -1)
+    return np.frombuffer(raw, np.uint8)[np.cumsum(change[:-1]) == 0].tobytes()
+
+
+def _passages(raw: bytes, begins: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """Which of the runs hold so many whole words."""
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate(([0], (~((data == 32) | ((data >= 9) & (data <= 13)))).view(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.searchsorted(end, ends, side="right") - np.searchsorted(start, begins) >= words
 
 
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text", *more)
+def _parts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("mark"), F.lit(0).alias("at"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), *more)
 
 
-def cut(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (what is left of the text), and columns of docs by name."""
+def _by_text(spans: DataFrame, name: str) -> DataFrame:
+    """The spans of each text as two lists."""
+    return spans.groupBy("id", "mark").agg(F.collect_list("first").alias(f"{name}firsts"), F.collect_list("last").alias(f"{name}lasts")).withColumn("at", F.lit(0))
+
+
+def _beside(parts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """parts with the lists of their text."""
+    names = [f"w.{c}" for c in lists.columns if c not in KEY]
+    return parts.alias("d").join(lists.alias("w"), _same_part("d", "w"), how).select(*[f"d.{c}" for c in parts.columns], *names)
+
+
+def cut(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_passage: bytes in passages (see above) of so many words."""
     scratch = Scratch(docs.sparkSession, "substring")
-    spans = scratch.save(repeats(_keyed(docs), scratch), "spans")
-    by_text = spans.groupBy("id", "mark").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    keyed = _keyed(docs, *more)
-    both = keyed.alias("d").join(by_text.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.mark") == F.col("s.mark")), "left").select("d.id", "d.text", "s.firsts", "s.lasts", *[f"d.{c}" for c in more])
+    short = repeats(_parts(docs), scratch, SHORT, SHORT_GRAM)
+    regions = scratch.save(_beside(_parts(docs), _by_text(short, ""), "inner").mapInArrow(_long_regions(SHORT, SPAN), f"{KEY_TYPES}, raw binary"), "regions")
+    spans = repeats(regions, scratch)
+    scratch.drop(regions)
+    spans = spans.select("id", "mark", (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last"))
+    both = _beside(_beside(_parts(docs), _by_text(spans, ""), "left"), _by_text(short, "short_"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, "raw"):
             rows = []
-            for t, firsts, lasts in zip(texts, part.column("firsts").to_pylist(), part.column("lasts").to_pylist(), strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                left, removed, runs = _uncovered(raw, firsts or [], lasts or [])
-                rows.append((len(raw), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *(part.column(c) for c in more)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *more])
+            for raw, *lists in zip(texts, *(part.column(c).to_pylist() for c in ("firsts", "lasts", "short_firsts", "short_lasts")), strict=True):
+                firsts, lasts, short_firsts, short_lasts = (np.asarray(x or [], np.int64) for x in lists)
+                begins, ends = _regions(firsts, lasts, SPAN)
+                left = _without(raw, begins, ends)
+                short_begins, short_ends = _regions(short_firsts, short_lasts, SHORT)
+                passage = _passages(raw, short_begins, short_ends, words)
+                rows.append((len(raw), len(raw) - len(left), len(begins), hashlib.sha256(left).hexdigest(), int((short_ends - short_begins)[passage].sum())))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    kinds = dict(docs.dtypes)
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", `{c}` {kinds[c]}" for c in more))
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(table(spark, sf_dir, "documents")).drop("kept")
+    return cut(table(spark, sf_dir, "documents"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with what repeats removed from the texts (half characters at the edges of a cut go with it); n_chars follows."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = cut(docs, *others).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
+def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with every passage of so many words or more that repeats removed from the texts, all of its occurrences (half characters at the edges go with it); n_chars, if docs has it, follows.
+
+    A text that loses nothing stays as it is, null included.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    short = repeats(_parts(docs), scratch, SHORT, SHORT_GRAM)
+    both = _beside(_parts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"), F.col("text")), _by_text(short, ""), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, "raw"):
+            out = []
+            for raw, text, firsts, lasts in zip(texts, *(part.column(c).to_pylist() for c in ("text", "firsts", "lasts")), strict=True):
+                if firsts:
+                    begins, ends = _regions(np.asarray(firsts, np.int64), np.asarray(lasts, np.int64), SHORT)
+                    passage = _passages(raw, begins, ends, words)
+                    text = _without(raw, begins[passage], ends[passage]).decode("utf-8", "ignore") if passage.any() else text
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([part.column("others"), pa.array(out, pa.string())], names=["others", "text"])
+
+    done = both.mapInArrow(run, T.StructType([both.schema["others"], T.StructField("text", T.StringType())]))
+    n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return done.select(*[F.col("text") if c == "text" else n_chars.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns])

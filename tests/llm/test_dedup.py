@@ -195,14 +195,33 @@ def plain_cut(texts, span=400):
     return out
 
 
+def plain_passages(texts, span=240, words=51):
+    """What is left of each text, and the bytes in passages: maximal runs of bytes covered by repeated strings, with so many whole words."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[k : k + span] for b in raw for k in range(len(b) - span + 1))
+    out = []
+    for b in raw:
+        gone = [False] * len(b)
+        for k in range(len(b) - span + 1):
+            if seen[b[k : k + span]] > 1:
+                gone[k : k + span] = [True] * span
+        runs = [m.span() for m in re.finditer(b"1+", bytes(49 if g else 48 for g in gone))]
+        places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        runs = [(x, y) for x, y in runs if sum(x <= u and v <= y for u, v in places) >= words]
+        kept = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(b)], strict=True))
+        out.append((kept.decode("utf-8", "ignore"), len(b) - len(kept)))
+    return out
+
+
 def cut(spark, texts, ids=None):
     rows = substring_dedup.cut(frame(spark, texts, ids)).orderBy("doc_id").collect()
+    assert [r.n_passage for r in rows] == [n for _, n in plain_passages(texts)]
     return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
 
 
 @pytest.mark.parametrize("many", [0, substring_dedup.MANY])
 def test_repeats_equal_a_plain_version(spark, many, monkeypatch):
-    monkeypatch.setattr(substring_dedup.repeats, "__defaults__", (many,))
+    monkeypatch.setattr(substring_dedup.repeats, "__defaults__", (substring_dedup.SPAN, substring_dedup.GRAM, many))
     rng = random.Random(4)
     base = sentence(rng, 500)
     # cuts of one text with edges everywhere, lengths around the threshold, repeats inside a text, runs of one letter
@@ -217,8 +236,38 @@ def test_repeats_edges(spark):
     assert cut(spark, two) == plain_cut(two)
     rows = substring_dedup.cut(frame(spark, ["k" + "ab" * 300] * 2 + [None], [9, 9, None])).collect()
     assert sorted(r.n_removed for r in rows) == [0, 601, 601]
-    kept = substring_dedup.without_repeats(frame(spark, ["xé" + "b" * 500, "é" + "b" * 500 + "y"])).orderBy("doc_id").collect()
-    assert [(r.text, r.n_chars) for r in kept] == [("x", 1), ("y", 1)]
+    words = "é" + " b" * 200
+    kept = substring_dedup.without_passages(frame(spark, ["x" + words, words + " y", None, "z" * 300, "z" * 300])).orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars) for r in kept] == [("x", 1), ("y", 1), (None, None), ("z" * 300, 300), ("z" * 300, 300)]
+
+
+def test_passages_equal_a_plain_version(spark):
+    texts = corpus(7, 20)
+    rng = random.Random(12)
+    passage = sentence(rng, 58)  # over 50 words, but no string of 400 bytes
+    texts += [sentence(rng, 40) + " " + passage + " " + sentence(rng, 40) for _ in range(6)] + [sentence(rng, 50) + " " + passage[:250]]
+    kept = substring_dedup.without_passages(frame(spark, texts)).orderBy("doc_id").collect()
+    want = plain_passages(texts)
+    assert [r.text or "" for r in kept] == [t for t, _ in want]
+    assert all(n >= len(passage) for _, n in want[-7:-1]) and want[-1][1] == 0
+
+
+CLASHES = "id long, mark int, at int, raw string, kept boolean, key string, n_bytes long, root long, first int, firsts string, size int, others string, p int, n long, a long, b long, u long, v long, salt int, norm string, score double, task int, length long"
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_copies, near_dedup.drop_near_copies, substring_dedup.without_passages])
+def test_stages_with_odd_rows_and_clashing_columns(spark, stage):
+    rng = random.Random(13)
+    long_text = sentence(rng, 180_000)  # about 1 MB
+    texts = [None, "", "a b", "a b", long_text, long_text, sentence(rng, 100), None]
+    ids = [1, 2, 3, 3, 4, 5, None, None]
+    docs = frame(spark, texts, ids)
+    more = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in CLASHES.split(", "))]
+    rows = stage(docs.select("*", *more))
+    assert rows.columns == [*docs.columns, *(c.split()[0] for c in CLASHES.split(", "))]
+    plain_rows = stage(docs)
+    assert sorted(map(str, rows.select(*docs.columns).collect())) == sorted(map(str, plain_rows.collect()))
+    assert stage(docs.where("false")).collect() == []
 
 
 def test_a_long_text_is_scanned_in_blocks(spark, monkeypatch):

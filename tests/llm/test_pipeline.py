@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tests.llm.test_dedup import plain_components, plain_cut, plain_exact, sentence
+from tests.llm.test_dedup import plain_components, plain_exact, plain_passages, sentence
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +45,7 @@ def test_stages_and_rows(spark, folder):
     assert set(seen[1][2]) == set(exact)
     near = [i for i, (_, root, _) in plain_components([left[i] for i in exact], exact).items() if i == root]
     assert set(seen[2][2]) == set(near)
-    cut = plain_cut([left[i] for i in sorted(near)])
-    assert [len(seen[3][2][i].text.encode()) for i in sorted(near)] == [n - gone for n, gone, *_ in cut]
+    assert [seen[3][2][i].text for i in sorted(near)] == [t for t, _ in plain_passages([left[i] for i in sorted(near)])]
     assert set(seen[4][2]) == set(near)
     rows = corpus_pipeline.run(spark, path).collect()
     assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows} == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in docs.collect()}
