@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import codes
-from tallyforge.llm.common import Scratch, chunks, table, with_totals
+from tallyforge.llm.common import Scratch, chunks, sweep, table, with_totals
 
 SHINGLE = 5
 SIDE, ROWS = 10, 2
@@ -165,7 +165,7 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
             ids, root = (np.repeat(part.column(c).to_numpy(), n) for c in ("id", "root"))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["id", "root", "n", "shingle"])
 
-    sets = scratch.save(docs.join(mixed, "id").dropDuplicates(["id"]).select("id", "root", "text").mapInArrow(run, "id long, root long, n long, shingle long"), "sets")
+    sets = scratch.save(docs.join(mixed, "id").select("id", "root", "text").mapInArrow(run, "id long, root long, n long, shingle long"), "sets")
     counted = with_totals(sets, ["shingle"], found=F.count("*"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("found", "shingle")) - 1
     heads = counted.withColumn("p", place).where("p <= n / 4 and found > 1").select("shingle", "id", "root", "n", (4 * F.col("n") - 7 * F.col("p")).alias("spare"))
@@ -183,8 +183,11 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
     meet = one.join(two, ["shingle", "block"]).where("r < t and r_most >= 3 * t_fewest and t_most >= 3 * r_fewest").drop("block")
     for c, x in (("r", "a"), ("t", "b")):
         side = members.select("shingle", F.col("root").alias(c), F.pmod(F.xxhash64("id"), _in_parts("size")).alias("block"), F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("spare").alias(f"{x}_spare"))
-        meet = meet.withColumn("block", F.explode(F.sequence(F.lit(0), _in_parts(f"{c}_size") - 1))).join(side, ["shingle", c, "block"]).drop("block")
-    return meet.where("a_spare >= 3 * b_n and b_spare >= 3 * a_n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one_block = meet.where(F.col(f"{c}_size") <= BLOCK).withColumn("block", F.lit(0))
+        blocks = meet.where(F.col(f"{c}_size") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), _in_parts(f"{c}_size") - 1)))
+        meet = one_block.unionByName(blocks).join(side, ["shingle", c, "block"]).drop("block")
+        meet = meet.where("a_spare >= 3 * t_fewest and t_most >= 3 * a_n" if x == "a" else "a_spare >= 3 * b_n and b_spare >= 3 * a_n")
+    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -199,10 +202,10 @@ def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, facts: DataFrame, scratch: Scratch, least: int = 75) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= least * union (least: 75 or more). docs: id, text; facts: id, n, odd."""
+    """The pairs whose full sets have 100 * intersection >= least * union (least: 75 or more). docs: id (once each), text; facts: id, n, odd."""
     pairs = scratch.save(possible(pairs, facts), "possible")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    found = scratch.save(docs.join(wanted, "id").dropDuplicates(["id"]), "texts")
+    found = scratch.save(docs.join(wanted, "id"), "wanted")
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +228,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) of every id in links; root: the smallest id that can be reached. Alternates two steps until nothing changes: every larger neighbour of an id moves to the
     smallest of its neighbourhood; every smaller neighbour does."""
     edges = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    last = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = with_totals(both, ["a"], m=F.min("b")).withColumn("m", F.least("a", "m"))
@@ -232,7 +236,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         back = with_totals(large.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a"], m=F.min("b"))
         small = back.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         new = scratch.save(small, "small")
-        stable = new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty()
+        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+        stable, last = now == last, now  # the same edges as a round before
         scratch.drop(large)
         scratch.drop(edges)
         edges = new
@@ -263,6 +268,9 @@ def cluster(docs: DataFrame) -> DataFrame:
     scratch.drop(halves)
     cells = scratch.save(_sized(met), "cells")
     scratch.drop(met)
+    # All candidates come from these cells, so whole texts move once. Their ids grow with the input: a shuffled join, whatever their size.
+    texts = scratch.save(texts.join(cells.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    sweep(spark)
 
     large = cells.where(F.col("size") > SMALL_CELL)  # of the others all pairs are compared
     links = compared = roots = None

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import codes
-from tallyforge.llm.common import Scratch, chunks, table, with_totals
+from tallyforge.llm.common import Scratch, chunks, sweep, table, with_totals
 
 SPAN, GRAM = 400, 128
 #: Passages: runs of bytes in repeated strings of SHORT bytes (51 words of prose have as many) that hold so many whole words.
@@ -209,6 +209,7 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     found = scratch.save(scan(parts, span, gram), "samples")
     again = scratch.save(found.join(found.groupBy("rank1").count().where("count > 1"), "rank1", "left_semi"), "again")
     scratch.drop(found)
+    sweep(scratch.spark)
     # round 2
     rank, member = ["rank1", "back", "n", "rank2"], F.struct(*KEY, "first")
     ranks = scratch.save(again.groupBy(*rank).agg(F.count("*").alias("of2"), F.min(member).alias("chosen")), "ranks")
@@ -230,6 +231,7 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     out = scratch.save(out, "spans")
     for table_ in (again, ranks, left):
         scratch.drop(table_)
+    sweep(scratch.spark)
     return out
 
 
