@@ -2,15 +2,17 @@
 
 Every page is cut into text lines (one for each block). Lines inside menus, forms, footers and other parts that say by tag, role or name that they are no article are out
 at once; of the others, those inside the page's article (or main part) are preferred when there is one. Then pages are differenced: within each host, pages are put in order
-of URL path, each page is aligned with the page before and the page after it by the longest common subsequence of their lines, and shared lines are deleted. A neighbour
-that shares most of the article is a copy of it and says nothing about boilerplate, so it deletes nothing. A line goes if one neighbour shares it,
-but never out of an article or main element: there the page says itself what its text is, and articles do share lines (quotes, licences, short sentences).
+of URL path, and each page is aligned with the two pages before and the two pages after it by the longest common subsequence of their lines. Pages equal in all lines count as one
+place in that order, and a page that shares nearly all with this one is a copy that says nothing about boilerplate (outside articles only if at most two do, and not all: more are a frame). A line votes for boilerplate with every aligned page that shares it:
+
+- outside an article two votes delete a line (where there is only one page to compare with: one vote, if the page keeps half of its text);
+- inside an article or main element all four pages must share it: articles do share lines (quotes, licences, short sentences), README has figures, but not with all pages around them.
 
 Scale: what is ordered and aligned is line hashes. The order is a range partitioning by (host, path, id), so a host with a third of all pages spreads over many tasks; the
-first and the last page of each range are handed to the neighbouring ranges, so that the cuts change nothing.
+two first and the two last distinct pages of each range are handed to the neighbouring ranges, so that the cuts change nothing.
 
 Defined cases: a null html is empty and gives the empty text; a null or odd url has the empty host; ties in the path go by page id; repeated rows are pages of their own and
-copies of each other; an empty table gives an empty result; other columns are ignored.
+copies of each other; long pages are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,20 +171,27 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-#: A neighbour that shares more than this part of the characters is a copy.
-COPY = 0.5
+#: A page that shares more than this part of the characters of both is a copy. A page compared with one other keeps this part of its characters at least.
+COPY, LEFT = 0.9, 0.5
+#: Pages on each side that a page is compared with.
+NEAR = 2
 
 
 def shared(page: dict, others: list[dict]) -> list[int]:
-    """Lines of page to delete, given its neighbours on the same host."""
-    if page["main"]:
+    """Lines of page to delete, given the nearest different pages on its host."""
+    size, votes = sum(page["sizes"]) or 1, [0] * len(page["hashes"])
+    found = [common(page["hashes"], other["hashes"]) for other in others]
+    copies = [sum(page["sizes"][i] for i in same) > COPY * max(size, sum(other["sizes"])) for same, other in zip(found, others, strict=True)]
+    if not page["main"] and (sum(copies) > NEAR or len(copies) > 1 and all(copies)):
+        copies = [False] * len(copies)  # so many are no copies of a text but a large frame with little in it
+    pages = len(copies) - sum(copies)
+    for same, copy in zip(found, copies, strict=True):
+        for i in () if copy else same:
+            votes[i] += 1
+    gone = [i for i, n in enumerate(votes) if n >= (2 * NEAR if page["main"] else min(2, pages) or 1)]
+    if pages == 1 and sum(page["sizes"][i] for i in gone) > LEFT * size:
         return []
-    size, gone = sum(page["sizes"]) or 1, set()
-    for other in others:
-        same = common(page["hashes"], other["hashes"])
-        if sum(page["sizes"][i] for i in same) <= COPY * size:
-            gone.update(same)
-    return sorted(gone)
+    return gone
 
 
 LINES = "part int, host string, path string, id long, mark long, real boolean, main boolean, hashes array<long>, sizes array<int>"
@@ -201,25 +210,38 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (part, host, path, id) to (id, mark, drop): each page is held until its successor is seen."""
-    before = current = None
-
-    def done(page: dict, *others: dict | None) -> tuple:
-        return page["id"], page["mark"], shared(page, [o for o in others if o is not None and o["host"] == page["host"] and o["part"] == page["part"]])
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=True)], names=["id", "mark", "drop"])
-
+    """Rows in order of (part, host, path, id) to (id, mark, drop). Equal pages in a row are one place; a place is decided once NEAR places after it are seen."""
+    places: list[dict] = []  # NEAR decided ones, then those that wait
+
+    def done(at: int) -> list[tuple]:
+        here = places[at]
+        if not here["members"]:
+            return []
+        near = [*places[max(0, at - NEAR) : at], *places[at + 1 : at + 1 + NEAR]]
+        drop = shared(here, [o for o in near if o["host"] == here["host"] and o["part"] == here["part"]])
+        return [(*m, drop) for m in here["members"]] if drop else []
+
+    def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=True)], names=["id", "mark", "drop"])
+
+    decided = 0  # of places
     for batch in batches:
-        rows = []
+        rows: list[tuple] = []
         for page in batch.to_pylist():
-            if current is not None and current["real"]:
-                rows.append(done(current, before, page))
-            before, current = current, page
-        if rows:
-            yield batch_of(rows)
-    if current is not None and current["real"]:
-        yield batch_of([done(current, before, None)])
+            member = [(page["id"], page["mark"])] if page["real"] else []
+            if places and all(places[-1][c] == page[c] for c in ("part", "host", "main", "hashes")):
+                places[-1]["members"] += member
+                continue
+            places.append({**page, "members": member})
+            if len(places) - decided > NEAR:
+                rows += done(decided)
+                decided += 1
+            if decided > NEAR:
+                del places[0]
+                decided -= 1
+        yield from batches_of(rows)
+    yield from batches_of([row for at in range(decided, len(places)) for row in done(at)])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -238,11 +260,15 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = scratch.save(found.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "lines")
 
-    page = F.struct(*order, "main", "hashes", "sizes")
-    edges = ranged.groupBy("part").agg(F.min_by(page, F.struct(*order)).alias("first"), F.max_by(page, F.struct(*order)).alias("last"))
-    near = Window.partitionBy(F.lit(0)).orderBy("part")  # a row for each range
-    edges = edges.select("part", F.lag("last").over(near).alias("before"), F.lead("first").over(near).alias("after"))
-    guests = edges.select("part", F.explode(F.array("before", "after")).alias("p")).where("p is not null").select("part", "p.*").withColumn("real", F.lit(False))
+    # the NEAR first and last places of each range also stand in the ranges beside it
+    place = ranged.groupBy("part", "host", "main", F.xxhash64("hashes").alias("print")).agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
+    firsts = place.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("lo"))).where(F.col("n") <= NEAR).select("part", F.col("lo").alias("at"), F.lit(-1).alias("step"))
+    lasts = place.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("hi")))).where(F.col("n") <= NEAR).select("part", F.col("hi").alias("at"), F.lit(1).alias("step"))
+    numbered = ranged.select("part").distinct().withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part")))  # a row for each range
+    moved = firsts.unionByName(lasts).join(numbered, "part").select("part", "at.*", (F.col("nth") + F.col("step")).alias("nth"))
+    moved = moved.join(numbered.withColumnRenamed("part", "to"), "nth")
+    same = [ranged[c].eqNullSafe(moved[c]) for c in order]
+    guests = ranged.join(moved, [ranged["part"] == moved["part"], *same]).select(moved["to"].alias("part"), *[ranged[c] for c in (*order, "main", "hashes", "sizes")]).dropDuplicates(["part", *order]).withColumn("real", F.lit(False))
     rows = ranged.withColumn("real", F.lit(True)).unionByName(guests).select(*[c.split()[0] for c in LINES.split(", ")])
     drop = rows.repartition("part").sortWithinPartitions("part", *order).mapInArrow(_aligned, "id long, mark long, drop array<int>")
     drop = scratch.save(drop.where("size(drop) > 0").dropDuplicates(["id", "mark"]), "drop")
