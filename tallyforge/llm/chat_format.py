@@ -1,16 +1,17 @@
 r"""Chat formatting (operator 6), DataFrame functions only.
 
-Records come in many layouts. The layout of a record is its set of nested field paths; the hash of that set is its fingerprint, and a fingerprint selects a declarative
-mapping that gives the record's turns as an array of (role, text). Two entries: `from_json` reads a column of JSON records of mixed layouts (each record is parsed to a
-variant, whose own schema string is fingerprinted), `from_table` fingerprints the columns of a table with a row for each turn.
+Records come in many layouts. The layout of a record is its set of nested field paths, such as `messages[].role`; the hash of that set is its fingerprint, and a fingerprint selects
+a declarative mapping that gives the record's turns as an array of (turn, role, text). `to_turns` takes records as structs or as JSON text: the paths of a struct are those of its type,
+those of a JSON record are read from it, so records of mixed layouts can share a column. Only fields that a mapping knows are hashed, in sorted order, so more fields and another order of
+fields change nothing. `from_table` makes a record of each row of a table, and `from_json` reads a column of JSON.
 
 Template: each turn is `<s>[INST]role[/INST]text</s>`. Inside roles and texts a backslash is doubled and a control string gets one backslash after its first character,
 so a control string in the output is always the template's own, and undoing both restores the text. A formatted conversation is an array of segments, each with a flag
 that tells whether it counts for the loss (the texts of assistant turns); the formatted string is the segments in a row.
 
 Defined cases: a null text or role is empty; turns order by turn (nulls first), then role and text, so ties have one order; repeated rows are separate turns; rows whose
-conversation id is null are one conversation; a record that is no JSON or whose layout has no mapping has no turns and keeps its fingerprint (nothing is dropped); an
-empty table gives an empty result, other columns are ignored. A conversation is one output value, so it must fit in one row; the order of its turns is made by sorting
+conversation id is null are one conversation; a record that is no JSON or whose layout has no mapping has no turns and keeps its fingerprint (nothing is dropped, but a table whose
+rows have no mapping is refused); long texts are formatted whole; an empty table gives an empty result, other columns are ignored. A conversation is one output value, so it must fit in one row; the order of its turns is made by sorting
 that one array.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.common import table
 
@@ -40,77 +42,158 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
-def fingerprint(layout: Column) -> Column:
+def fingerprint(paths: Column) -> Column:
     """Hash of a layout: the sorted field paths of a record."""
-    return F.sha2(layout, 256)
+    return F.sha2(F.array_join(F.array_sort(paths), ","), 256)
 
 
-def paths(schema: Column) -> Column:
-    """Field paths of a variant's schema string, value types left out: what stands before a colon, in the order of the string (fields come sorted by name)."""
-    return F.regexp_replace(schema, r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\s*\d+\)|TIMESTAMP|DATE)", "")
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
-def _texts(variant: Column, *path_and_role: tuple[str, str]) -> Column:
-    turns = F.array(*[F.struct(F.lit(role).alias("role"), F.try_variant_get(variant, p, "string").alias("text")) for p, role in path_and_role])
-    return F.filter(turns, lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != ""))
+class Record:
+    """A record whose fields can be read by path, whether it is a struct or a variant."""
 
+    def __init__(self, column: Column, kind: T.DataType):
+        self.column, self.kind = column, kind
 
-def _list(variant: Column, path: str, role: str, text: str) -> Column:
-    items = F.try_variant_get(variant, path, f"array<struct<{role}: string, {text}: string>>")
-    return F.transform(items, lambda t: F.struct(F.lower(t[role]).alias("role"), t[text].alias("text")))
+    def paths(self) -> Column:
+        """The known paths of this record."""
+        if isinstance(self.kind, T.StructType):
+            found = [f for f in self.kind.fieldNames() if f in KNOWN]
+            for name in found[:]:
+                inner = self.kind[name].dataType
+                if isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType):
+                    found += [f"{name}[].{f}" for f in inner.elementType.fieldNames() if f"{name}[].{f}" in KNOWN]
+            return F.array(*[F.lit(f) for f in found]).cast("array<string>")
+        known = F.array(*[F.lit(p) for p in sorted(KNOWN)])
+        keys = [F.map_keys(F.try_variant_get(self.column, "$", "map<string,variant>"))]
+        for name in LISTS:
+            inside = F.map_keys(F.try_variant_get(self.column, f"$.{name}[0]", "map<string,variant>"))
+            before = F.lit(f"{name}[].")
+            keys.append(F.transform(inside, lambda k: F.concat(before, k)))  # noqa: B023  the function is called at once
+        return F.array_intersect(F.flatten(F.array(*[F.coalesce(k, F.array().cast("array<string>")) for k in keys])), known)
 
+    def get(self, path: str, kind: str) -> Column:
+        if isinstance(self.kind, T.StructType):
+            return self.column[path].cast(kind) if path in self.kind.fieldNames() else F.lit(None).cast(kind)
+        return F.try_variant_get(self.column, f"$.{path}", kind)
 
-def _pairs(variant: Column) -> Column:
-    pairs = F.try_variant_get(variant, "$.history", "array<array<string>>")
-    before = F.flatten(F.transform(pairs, lambda p: F.array(F.struct(F.lit("user").alias("role"), F.get(p, 0).alias("text")), F.struct(F.lit("assistant").alias("role"), F.get(p, 1).alias("text")))))
-    return F.concat(F.coalesce(before, F.array().cast("array<struct<role:string,text:string>>")), _texts(variant, ("$.prompt", "user"), ("$.response", "assistant")))
 
+    def list(self, path: str, *names: str) -> Column:
+        """A list of records with text fields; a field that they lack is null."""
+        if isinstance(self.kind, T.StructType):
+            inner = self.kind[path].dataType.elementType
+            have = inner.fieldNames() if isinstance(inner, T.StructType) else []
+            return F.transform(self.column[path], lambda t: F.struct(*[(t[f] if f in have else F.lit(None)).cast("string").alias(f) for f in names]))
+        return F.try_variant_get(self.column, f"$.{path}", f"array<struct<{', '.join(f'{f}: string' for f in names)}>>")
 
-#: A layout as its sorted field paths, and the mapping of its records to turns. `input` joins the instruction as a second paragraph.
-LAYOUTS: dict[str, Callable[[Column], Column]] = {
-    "OBJECT<completion, prompt>": lambda v: _texts(v, ("$.prompt", "user"), ("$.completion", "assistant")),
-    "OBJECT<prompt, response>": lambda v: _texts(v, ("$.prompt", "user"), ("$.response", "assistant")),
-    "OBJECT<prompt, response, system>": lambda v: _texts(v, ("$.system", "system"), ("$.prompt", "user"), ("$.response", "assistant")),
-    "OBJECT<answer, question>": lambda v: _texts(v, ("$.question", "user"), ("$.answer", "assistant")),
-    "OBJECT<instruction, output>": lambda v: _texts(v, ("$.instruction", "user"), ("$.output", "assistant")),
-    "OBJECT<input, instruction, output>": lambda v: F.transform(
-        _texts(v, ("$.instruction", "user"), ("$.output", "assistant")),
-        lambda t, i: F.struct(t["role"].alias("role"), F.when(i == 0, F.concat_ws("\n\n", t["text"], F.nullif(F.try_variant_get(v, "$.input", "string"), F.lit("")))).otherwise(t["text"]).alias("text")),
-    ),
-    "OBJECT<messages: ARRAY<OBJECT<content, role>>>": lambda v: _list(v, "$.messages", "role", "content"),
-    "OBJECT<conversations: ARRAY<OBJECT<from, value>>>": lambda v: F.transform(
-        _list(v, "$.conversations", "from", "value"), lambda t: F.struct(F.when(t["role"] == "human", "user").when(t["role"] == "gpt", "assistant").otherwise(t["role"]).alias("role"), t["text"].alias("text"))
-    ),
-    "OBJECT<history: ARRAY<ARRAY<STRING>>, prompt, response>": _pairs,
-}
-#: Tables with a row for each turn: sorted column names, and the columns that hold conversation, order, role and text.
-TABLES = {
-    ("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"),
-    ("content", "conversation_id", "position", "role"): ("conversation_id", "position", "role", "content"),
-}
-TURNS = "array<struct<role:string,text:string>>"
 
+def _turn(role: Column, text: Column, turn: Column | None = None) -> Column:
+    return F.struct((F.lit(None) if turn is None else turn).cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
+
+
+def fields(*path_and_role: tuple[str, str], second_paragraph: str | None = None) -> Callable[[Record], Column]:
+    """Mapping of a record with a field for each turn. An empty system text is no turn; second_paragraph names a field that joins the first turn."""
+
+    def turns(r: Record) -> Column:
+        found = []
+        for k, (path, role) in enumerate(path_and_role):
+            text = r.get(path, "string")
+            if k == 0 and second_paragraph:
+                text = F.concat_ws("\n\n", text, F.nullif(r.get(second_paragraph, "string"), F.lit("")))
+            found.append(_turn(F.lit(role), text))
+        return F.filter(F.array(*found), lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != ""))
+
+    return turns
+
+
+def items(path: str, role: str, text: str, **renamed: str) -> Callable[[Record], Column]:
+    """Mapping of a record with a list of turns; renamed: roles under another name."""
+
+    def turns(r: Record) -> Column:
+        def one(t: Column) -> Column:
+            name = F.lower(t[role])
+            for old, new in renamed.items():
+                name = F.when(name == old, new).otherwise(name)
+            return _turn(name, t[text])
+
+        return F.transform(r.list(path, role, text), one)
+
+    return turns
 
-def from_json(df: DataFrame, id_col: str, json_col: str, layouts: dict[str, Callable[[Column], Column]] = LAYOUTS) -> DataFrame:
+
+def pairs(path: str, last: Callable[[Record], Column]) -> Callable[[Record], Column]:
+    """Mapping of a record with a list of (user, assistant) pairs, and the last turns in fields."""
+
+    def turns(r: Record) -> Column:
+        before = F.flatten(F.transform(r.get(path, "array<array<string>>"), lambda p: F.array(_turn(F.lit("user"), F.get(p, 0)), _turn(F.lit("assistant"), F.get(p, 1)))))
+        return F.concat(F.coalesce(before, F.array().cast(TURNS)), last(r))
+
+    return turns
+
+
+def row(turn: str, role: str, text: str) -> Callable[[Record], Column]:
+    """Mapping of a record that is one turn of a conversation."""
+    return lambda r: F.array(_turn(r.get(role, "string"), r.get(text, "string"), r.get(turn, "bigint")))
+
+
+#: Layouts by their field paths, sorted, and the mapping of their records to turns.
+LAYOUTS: dict[tuple[str, ...], Callable[[Record], Column]] = {
+    ("conv_id", "role", "text", "turn"): row("turn", "role", "text"),
+    ("content", "conversation_id", "position", "role"): row("position", "role", "content"),
+    ("completion", "prompt"): fields(("prompt", "user"), ("completion", "assistant")),
+    ("prompt", "response"): fields(("prompt", "user"), ("response", "assistant")),
+    ("prompt", "response", "system"): fields(("system", "system"), ("prompt", "user"), ("response", "assistant")),
+    ("answer", "question"): fields(("question", "user"), ("answer", "assistant")),
+    ("instruction", "output"): fields(("instruction", "user"), ("output", "assistant")),
+    ("input", "instruction", "output"): fields(("instruction", "user"), ("output", "assistant"), second_paragraph="input"),
+    ("messages",): items("messages", "role", "content"),
+    ("messages", "messages[].content", "messages[].role"): items("messages", "role", "content"),
+    ("conversations",): items("conversations", "from", "value"),
+    ("conversations", "conversations[].from", "conversations[].value"): items("conversations", "from", "value", human="user", gpt="assistant"),
+    ("history", "prompt", "response"): pairs("history", fields(("prompt", "user"), ("response", "assistant"))),
+}
+KNOWN = {p for paths in LAYOUTS for p in paths}
+LISTS = sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})
+#: Fields that hold the conversation a row belongs to.
+CONVERSATION = ("conv_id", "conversation_id")
+
+
+def to_turns(df: DataFrame, record: str, layouts: dict[tuple[str, ...], Callable[[Record], Column]] = LAYOUTS) -> DataFrame:
+    """df with `layout` (fingerprint) and `turns` of the column `record`: a struct, a variant, or JSON text.
+
+    A layout fits if the hash of those of its paths that the record has is its fingerprint; of several, the one with the most paths counts.
+    """
+    kind = df.schema[record].dataType
+    if isinstance(kind, T.StringType):
+        df, kind = df.withColumn(record, F.try_parse_json(record)), T.VariantType()
+    r = Record(F.col(record), kind)
+    df = df.withColumn("_paths", r.paths())
+    layout, turns = fingerprint(F.col("_paths")), F.array().cast(TURNS)
+    for paths, mapping in sorted(layouts.items(), key=lambda x: len(x[0])):
+        if isinstance(kind, T.StructType) and not {p.split("[]")[0] for p in paths} <= set(kind.fieldNames()):
+            continue  # the mapping can't be read from this type
+        all_paths = F.array(*[F.lit(p) for p in paths])
+        fits = fingerprint(F.array_intersect(F.col("_paths"), all_paths)) == fingerprint(all_paths)
+        layout, turns = F.when(fits, fingerprint(all_paths)).otherwise(layout), F.when(fits, mapping(r).cast(TURNS)).otherwise(turns)
+    return df.withColumns({"layout": layout, "turns": F.coalesce(turns, F.array().cast(TURNS))}).drop("_paths")
+
+
+def from_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(conv_id, layout, turns) of a column of JSON records."""
-    parsed = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(json_col).alias("v")).withColumn("paths", paths(F.schema_of_variant("v")))
-    parsed = parsed.withColumn("layout", fingerprint(F.coalesce("paths", F.lit(""))))
-    turns = F.lit(None).cast(TURNS)
-    for path_set, mapping in layouts.items():
-        turns = F.when(F.col("layout") == fingerprint(F.lit(path_set)), mapping(F.col("v")).cast(TURNS)).otherwise(turns)
-    return parsed.select("conv_id", "layout", F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
-
-
-def from_table(df: DataFrame, tables: dict[tuple[str, ...], tuple[str, str, str, str]] = TABLES) -> DataFrame:
-    """(conv_id, turns) of a table with a row for each turn. More columns than a mapping names don't matter; of several mappings that fit, the first counts."""
-    have = set(df.columns)
-    found = next((m for columns, m in tables.items() if have >= set(columns)), None)
-    if found is None:
-        raise ValueError(f"no mapping for the columns {sorted(have)}")
-    conv, turn, role, text = (F.col(c) for c in found)
-    rows = df.select(conv.alias("conv_id"), F.struct(turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
-    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return to_turns(df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")), "record").select("conv_id", "layout", "turns")
+
+
+def from_table(df: DataFrame) -> DataFrame:
+    """(conv_id, turns) of a table with a row for each turn: each row is a record."""
+    rows = {paths: mapping for paths, mapping in LAYOUTS.items() if set(paths) & set(CONVERSATION) and set(paths) <= set(df.columns)}
+    if not rows:
+        raise ValueError(f"no mapping for the columns {sorted(df.columns)}")
+    paths, mapping = next(iter(rows.items()))  # of several that fit, the first counts
+    conversation = next(c for c in CONVERSATION if c in paths)
+    rows = to_turns(df.select(F.col(conversation).alias("conv_id"), F.struct(*paths).alias("record")), "record", {paths: mapping})
+    turn = F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return rows.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list(turn)), _by_turn).alias("turns"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:
@@ -155,7 +238,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role"))
     extra = extra.select(F.lit(-7).cast("long").alias("conv_id"), F.when(F.col("role") == "user", 0).otherwise(1).cast("long").alias("turn"), "role", F.lit(own).alias("text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = table(spark, sf_dir, "conversations").unionByName(extra, allowMissingColumns=True)
     done = format_turns(from_table(rows)).select("conv_id", "segments", "formatted")
     read = done.select("conv_id", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
