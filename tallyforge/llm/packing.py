@@ -107,7 +107,10 @@ def cut(size: int, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.Record
 
 
 class Gaps:
-    """Which lengths are to be had, and the sums of one, two and three of them."""
+    """Which lengths are to be had, and an index of the sums of one, two and three of them.
+
+    `pair[s]` tells whether two available lengths add up to s, `triple[s]` whether three do.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
@@ -117,34 +120,46 @@ class Gaps:
         have = (self.counts > 0).astype(np.int64)
         have[0] = 0
         self.single = have > 0
-        self.pair = np.convolve(have, have)[: len(have)] > 0
+        self.pair = np.rint(fftconvolve(have, have)) > 0
+        self.triple = np.rint(fftconvolve(have, self.pair.astype(np.int64))) > 0
         self.stale = False
 
     def fits(self, used: tuple[int, ...]) -> bool:
         return all(self.counts[x] >= used.count(x) for x in set(used))
 
+    def two(self, head: tuple[int, ...], gap: int) -> tuple[int, int] | None:
+        """Two lengths, the longer first, that fill the gap besides head."""
+        if gap < 2 or not self.pair[gap]:
+            return None
+        longer = np.arange(gap - 1, (gap - 1) // 2, -1)
+        for a in longer[self.single[longer] & self.single[gap - longer]].tolist():
+            if self.fits((*head, a, gap - a)):
+                return a, gap - a
+        return None
+
     def exact(self, head: tuple[int, ...], gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that fill the gap to the last place, the longest first, besides those that head takes."""
+        """One, two or three available lengths that fill the gap to the last place, the longest first, besides those that head takes. All combinations are looked at until one fits."""
         if self.stale:
             self.index()
         if self.single[gap] and self.fits((*head, gap)):
             return (gap,)
-        if self.pair[gap]:
-            for a in np.flatnonzero(self.single[: gap][::-1]) + 1:  # gap - a, a from 1: the longer of the two comes first
-                if self.single[a] and self.fits((*head, int(gap - a), int(a))):
-                    return (int(gap - a), int(a))
-                if 2 * a > gap:
-                    break
-        firsts = np.flatnonzero(self.single[:gap] & self.pair[gap - np.arange(gap)])[::-1]
-        for a in firsts[:64]:
-            rest = int(gap - a)
-            b = np.flatnonzero(self.single[:rest] & self.single[rest - np.arange(rest)])[::-1]
-            for x in b[:8]:
-                if self.fits((*head, int(a), int(x), rest - int(x))):
-                    return (int(a), int(x), rest - int(x))
+        if found := self.two(head, gap):
+            return found
+        if not self.triple[gap]:
+            return None
+        firsts = np.arange(gap - 2, 0, -1)
+        for a in firsts[self.single[firsts] & self.pair[gap - firsts]].tolist():
+            if self.fits((*head, a)) and (found := self.two((*head, a), gap - a)):
+                return (a, *found)
         return None
 
 
+def fftconvolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often each sum of an index of a and one of b occurs, up to the length of a."""
+    size = 2 * len(a)
+    return np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[: len(a)]
+
+
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences). counts[n]: pieces of length n; the last index is the size of a sequence. Uses every piece once."""
     size, counts, out = len(counts) - 1, counts.astype(np.int64).copy(), []
