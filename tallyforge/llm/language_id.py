@@ -32,7 +32,8 @@ BITS = 14
 ORDERS = (1, 2, 3, 4)
 SAMPLE = 480
 CUTS = (40, 120)
-CLASSES = 200
+#: Documents of each language at least, as far as there are so many: with very many languages the sample grows beyond SAMPLE by these.
+EACH = 8
 SHARP = 4.0
 
 
@@ -121,14 +122,12 @@ def fit(examples: pd.DataFrame, languages: list[str], ridge: float = 0.3) -> Mod
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from documents with a lang outside fold 2 of 4; None if there are none."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold("doc_id", 4) != 2)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not sizes:
         return None
     languages = sorted(r.lang for r in sizes)
-    each = max(1, sample // len(languages))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, each / r.n).otherwise(share)
+    each = max(EACH, sample // len(languages))
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(each / r.n))]), F.col("lang"))
     draw = F.xxhash64("doc_id", F.lit(3))
     drawn = known.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang", F.pmod(F.shiftright(draw, 20), F.lit(1 << 30)).alias("at"))
     scratch = Scratch(docs.sparkSession, "language")
