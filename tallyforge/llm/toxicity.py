@@ -196,7 +196,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, (t, k) in enumerate(zip(texts, top, strict=True)):
                 worst.append(float(scores[k]) if k >= 0 else None)
                 a, b = (spans[0, k] - begins[i], spans[1, k] - begins[i]) if k >= 0 else (0, 0)
-                sentence.append(t[max(a, 0) : b].strip() if k >= 0 and len(t) == len(t.lower()) else None)
+                if k >= 0 and len(t) != len(t.lower()):  # places in the lower case, back to those in the text
+                    ends = np.cumsum([0, *(len(c.lower()) for c in t)])
+                    a, b = (int(np.searchsorted(ends, max(x, 0), side="right")) - 1 for x in (a, b))
+                sentence.append(t[max(a, 0) : b].strip() if k >= 0 else None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(whole), pa.array(worst, pa.float64()), pa.array(sentence, pa.string())], names=["doc_id", "score", "worst", "sentence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, worst double, sentence string")
@@ -205,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("worst").alias("worst_sentence_score"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("worst").alias("worst_sentence_score"), F.col("sentence").alias("worst_sentence"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

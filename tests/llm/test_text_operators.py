@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -81,6 +82,44 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {t for t, _ in page(spark, rows)} == {"The same article on every page.\n\nWith a second line."}
 
 
+def test_frames_go_and_articles_keep_their_own_lines(spark):
+    def html(i, bar=True):
+        return f"<article><h1>Title {i}</h1><p>Text of page {i}, with some words.</p>" + "<p>A sentence that half of the pages have.</p>" * (i % 2) + "<p>Share this page</p>" * bar + "</article>"
+
+    rows = [(i, f"https://h.example/{i:03}", html(i)) for i in range(40)]
+    got = page(spark, rows)
+    assert all("Share this page" not in t for t, _ in got[2:-2]) and all("Share this page" in t for t, _ in got[:2] + got[-2:])  # at the ends of a host fewer than four pages tell
+    assert all(("half of the pages" in t) == bool(i % 2) for i, (t, _) in enumerate(got))
+    frame_ = "<p>Start</p><p>News</p><p>Sport and weather and much more of it</p>{}<p>About the people who make these pages</p><p>Imprint</p>"
+    short = [(i, f"https://s.example/{i}", frame_.format(f"<p>Note {i}</p>")) for i in range(20)]
+    short += [(20 + k, "https://s.example/9", frame_.format("<p>Note 9</p>")) for k in range(5)]  # equal pages are one place
+    assert [t for t, _ in page(spark, short)] == [f"Note {i}" for i in range(20)] + ["Note 9"] * 5
+
+
+def test_pages_equal_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()
+    rng = random.Random(3)
+    rows = [tuple(r) for r in rows] + [(10_000 + i, f"http://f.example/{rng.randint(0, 40)}", "".join(f"<p>{rng.choice('abcdefghij') * rng.randint(1, 3)}</p>" for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    parsed = []
+    for i, url, html in rows:
+        m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*))?([^?#]*)", url or "")
+        lines, main = page_text.candidates(html or "")
+        parsed.append({"order": ((m[1] or "").lower(), m[2], i), "host": (m[1] or "").lower(), "main": main, "hashes": lines, "sizes": [len(x) for x in lines]})
+    places = []
+    for p in sorted(parsed, key=lambda p: p["order"]):
+        if places and all(places[-1][0][c] == p[c] for c in ("host", "main", "hashes")):
+            places[-1].append(p)
+        else:
+            places.append([p])
+    want = {}
+    for k, place in enumerate(places):
+        near = [places[j][0] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(places) and places[j][0]["host"] == place[0]["host"]]
+        gone = page_text.shared(place[0], near)
+        want |= {p["order"][2]: "\n\n".join(x for i, x in enumerate(p["hashes"]) if i not in gone) for p in place}
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_page_edges(spark):
     assert page(spark, []) == []
     odd = [(1, None, None), (2, "::", ""), (3, "http://x", "<p>cut off <b>in a ta"), (4, "http://x", "<p>a</p><script>never closed"), (5, "http://y", "plain & text &am"), (6, "http://y/z", "<nav>only</nav>"), (7, "http://z", "<p>" + "w " * 200_000 + "</p>")]
@@ -146,6 +185,19 @@ def test_plans_use_every_piece_once_and_little_room():
         assert sum(t for _, t in patterns) <= -(-lengths.sum() // size) * 1.34 + 1
 
 
+def test_exact_fillings_are_found_whenever_there_are_some():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        counts = np.zeros(61, np.int64)
+        np.add.at(counts, rng.integers(1, 61, rng.integers(1, 9)), 1)
+        have = np.repeat(np.arange(61), counts).tolist()
+        gaps = packing.Gaps(counts)
+        for gap in range(1, 61):
+            there = any(sum(c) == gap for n in (1, 2, 3) for c in combinations(have, n))
+            found = gaps.exact((), gap)
+            assert (found is not None) == there and (not there or sum(found) == gap and gaps.fits(found))
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, [])).collect() == []
 
@@ -214,12 +266,21 @@ def test_layouts_by_fingerprint(spark):
     want = [[(u, "p"), (a, "c")], [(u, "i\n\nn"), (a, "o")], [(u, "i"), (a, "o")], [(u, "u"), (a, "a")], [(u, "h"), (a, "g")], [(u, "q"), (a, "r"), (u, "p"), (a, "s")], [("system", "y"), (u, "p"), (a, "s")], [], [], []]
     assert [[(t.role, t.text) for t in r.turns] for r in got] == want
     assert got[1].layout == got[2].layout != got[0].layout
+    more = [{"id": 5, "completion": "c", "prompt": "p", "text": 1}, {"meta": {"a": 1}, "messages": [{"id": 1, "content": "u", "role": "user"}]}, {"messages": []}]
+    got = chat_format.from_json(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(more)], "id long, j string"), "id", "j").orderBy("conv_id").collect()
+    assert [[(t.role, t.text) for t in r.turns] for r in got] == [[(u, "p"), (a, "c")], [(u, "u")], []]
+    typed = spark.createDataFrame([(1, ([("user", "u", 3)],)), (2, None)], "id long, r struct<messages: array<struct<role: string, content: string, id: int>>>")
+    got = chat_format.to_turns(typed, "r").orderBy("id").collect()
+    assert [(t.role, t.text) for t in got[0].turns] == [("user", "u")] and got[1].turns == [] and got[0].layout == chat_format.to_turns(typed.selectExpr("id", "to_json(r) as r"), "r").where("id = 1").first().layout
 
 
 def test_order_and_ties_of_turns(spark):
     rows = [(1, 2, "b", "x"), (1, None, "z", "n"), (1, 1, "b", "q"), (1, 1, "b", "p"), (1, 1, "a", "r"), (None, 0, "u", "m"), (1, 1, "b", "p")]
     got = chat_format.from_table(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.conv_id: [t.text for t in r.turns] for r in got} == {1: ["n", "r", "p", "p", "q", "x"], None: ["m"]}
+    clash = spark.createDataFrame([("p", "t", 1, 0, "user", 5, "x")], "prompt string, text string, conv_id long, turn long, role string, content int, record string")
+    assert [[(t.role, t.text) for t in r.turns] for r in chat_format.from_table(clash).collect()] == [[("user", "t")]]
+    assert chat_format.from_table(clash.where("false")).collect() == []
     with pytest.raises(ValueError):
         chat_format.from_table(spark.range(1))
 
@@ -247,9 +308,22 @@ def test_toxic_sentences_are_found(spark):
     assert all("zog" in rows[i].sentence or "quaz" in rows[i].sentence for i in held if i % 4 == 0)
     assert rows[600].score == rows[601].score == 0.0 and rows[602].score > 0.5
     kept = toxicity.drop_toxic(docs, marks)
+    odd = toxicity.score(frame(spark, ["İstanbul İİİ. You zogwurst now! İ end."]), model).first()
+    assert odd.sentence == "You zogwurst now!"
+    assert toxicity.score(docs.where("false"), model).collect() == [] and toxicity.drop_toxic(docs.where("false"), marks).collect() == []
+    more = docs.withColumns({c: F.lit(1) for c in ("score", "worst", "sentence", "toxic", "label")})
+    assert toxicity.drop_toxic(more, marks).columns == more.columns
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.score < 0.5}
 
 
+def test_worst_sentence_of_a_text_whose_lower_case_is_longer():
+    word = int(toxicity.features_of(["zogwurst"])[0][0, 0])
+    model = toxicity.Model(np.asarray([word]), np.asarray([6.0]), -5.0)
+    text = "İstanbul İİİ. You zogwurst now! İ end."
+    scores, text_of, spans = toxicity.sentence_scores(model, [text])
+    assert scores.argmax() == 1 and len(text.lower()) > len(text)
+
+
 def test_toxicity_without_both_labels(spark):
     docs = frame(spark, ["some words", None])
     for rows, score in (([], 0.0), ([(0, 1, 0)], 0.0)):
