@@ -59,7 +59,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that stay; of rows with one id and equal texts one, and rows with a null id stay."""
     decided = Scratch(docs.sparkSession, "exact").save(decide(docs, id_col).select(id_col, "kept"), "decided")
     by_id = decided.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = docs.join(by_id.where("not kept").select(id_col), id_col, "left_anti")
+    out = docs.join(by_id.where("not kept").select(id_col).hint("merge"), id_col, "left_anti")  # ids grow with the input: a shuffled join, whatever their size
     if not by_id.where("n > 1").isEmpty():
         out = out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     return out.select(*docs.columns)

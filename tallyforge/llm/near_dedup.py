@@ -316,4 +316,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component stays; rows with a null id stay."""
-    return docs.join(cluster(docs).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cluster(docs).where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)

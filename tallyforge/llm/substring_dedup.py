@@ -219,17 +219,20 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     left = chosen.join(ranks.groupBy("rank1").agg(F.count("*").alias("ranks"), F.max(F.col("of2") == 1).alias("alone")).where("ranks > 1 and alone"), "rank1")
     left = scratch.save(left.select("rank1", "back", "n", *KEY, "first", "lonely", (F.col("ranks") > many).alias("hot")), "left")
     wanted = left.groupBy(*KEY).agg(F.collect_list(F.struct("rank1", "back", "n", "first", "lonely", "hot")).alias("wanted"))
-    own = parts.alias("d").join(wanted.alias("w"), _same_part("d", "w")).select(*[f"d.{c}" for c in KEY], "d.raw", "w.wanted")
-    own = own.dropDuplicates(KEY)  # of repeated rows one speaks for all
+    # of repeated rows one speaks for all; texts move once for both ways of comparing
+    own = scratch.save(_beside(parts, wanted, "inner").dropDuplicates(KEY), "own")
+    sweep(scratch.spark)
     few = own.withColumn("wanted", F.filter("wanted", lambda w: ~w["hot"])).mapInArrow(_members(span), MEMBER)
     spans = f"{KEY_TYPES}, first int, last int"
-    out = whole.unionByName(few.repartition("rank1").sortWithinPartitions("rank1").mapInArrow(_compare(span), spans))
+    out = scratch.save(whole, "whole")
+    out = out.unionByName(scratch.save(few.repartition("rank1").sortWithinPartitions("rank1").mapInArrow(_compare(span), spans), "compared"))
     if not left.where("hot").isEmpty():
         hot = own.withColumn("wanted", F.filter("wanted", lambda w: w["hot"])).mapInArrow(_members(span), MEMBER).mapInArrow(_by_start(span), f"key long, lonely boolean, {KEY_TYPES}, first int")
-        hot = with_totals(scratch.save(hot, "hot"), ["key"], times=F.count("*")).where("times > 1 and lonely")
-        out = out.unionByName(hot.select(*KEY, "first", F.col("first").alias("last")))
-    out = scratch.save(out, "spans")
-    for table_ in (again, ranks, left):
+        hot = scratch.save(hot, "hot")
+        hot_spans = scratch.save(with_totals(hot, ["key"], times=F.count("*")).where("times > 1 and lonely").select(*KEY, "first", F.col("first").alias("last")), "hot-spans")
+        scratch.drop(hot)
+        out = out.unionByName(hot_spans)
+    for table_ in (again, ranks, left, own):
         scratch.drop(table_)
     sweep(scratch.spark)
     return out
@@ -286,9 +289,9 @@ def _by_text(spans: DataFrame, name: str) -> DataFrame:
 
 
 def _beside(parts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """parts with the lists of their text."""
+    """parts with the lists of their text. The lists grow with the input: a shuffled join, whatever their size."""
     names = [f"w.{c}" for c in lists.columns if c not in KEY]
-    return parts.alias("d").join(lists.alias("w"), _same_part("d", "w"), how).select(*[f"d.{c}" for c in parts.columns], *names)
+    return parts.alias("d").join(lists.hint("merge").alias("w"), _same_part("d", "w"), how).select(*[f"d.{c}" for c in parts.columns], *names)
 
 
 def cut(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -328,13 +331,15 @@ def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "passages")
     short = repeats(_parts(docs), scratch, SHORT, SHORT_GRAM)
-    both = _beside(_parts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"), F.col("text")), _by_text(short, ""), "left")
+    rows = _parts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"), F.col("text")).drop("raw")
+    both = _beside(rows, _by_text(short, ""), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "raw"):
+        for part, _ in chunks(batches):
             out = []
-            for raw, text, firsts, lasts in zip(texts, *(part.column(c).to_pylist() for c in ("text", "firsts", "lasts")), strict=True):
+            for text, firsts, lasts in zip(*(part.column(c).to_pylist() for c in ("text", "firsts", "lasts")), strict=True):
                 if firsts:
+                    raw = text.encode("utf-8", "surrogatepass")
                     begins, ends = _regions(np.asarray(firsts, np.int64), np.asarray(lasts, np.int64), SHORT)
                     passage = _passages(raw, begins, ends, words)
                     text = _without(raw, begins[passage], ends[passage]).decode("utf-8", "ignore") if passage.any() else text
