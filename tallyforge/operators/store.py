@@ -76,7 +76,10 @@ def defaulted(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables under a new folder of root, then name it in root/CURRENT by a rename. Readers that go by CURRENT see all of the change or nothing."""
+    """Write all tables under a new folder of root, then name it in root/CURRENT. Readers that go by CURRENT see all of the change or nothing.
+
+    CURRENT is replaced by one rename that overwrites, so it exists at every moment; a crash before it leaves the state as it was.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = f"{root}/v-{uuid.uuid4().hex}"
     for name, df in tables.items():
@@ -84,12 +87,14 @@ def publish(tables: dict[str, DataFrame], root: str) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(conf)
-    new = path(f"{root}/CURRENT-{uuid.uuid4().hex}")
+    new, current = path(f"{root}/CURRENT-{uuid.uuid4().hex}"), path(f"{root}/CURRENT")
     out = fs.create(new)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(path(f"{root}/CURRENT"), False)
-    fs.rename(new, path(f"{root}/CURRENT"))
+    options = jvm.org.apache.hadoop.fs.Options
+    rename = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    rename[0] = getattr(options, "Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(current), rename)
     return version
 
 

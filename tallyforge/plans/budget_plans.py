@@ -110,7 +110,7 @@ def recurring_movements_month(spark: SparkSession, d: str) -> DataFrame:
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """Movements as they might be stored: every third month is missing, some differ, some are paid, some lie after the end."""
     m = recurrence.by_duration(A.fixed_expenses(spark, d).withColumn("duration_months", F.col("duration_months") + 2))
-    n = F.col("fixed_expense_id") / 10 + F.col("month")
+    n = (F.col("fixed_expense_id") / 10).cast("long") + F.col("month")
     return m.where(n % 3 != 0).withColumn("amount", F.when(n % 4 == 0, F.col("amount") + 1).otherwise(F.col("amount"))).withColumn("status", F.when(n % 5 == 0, "paid").otherwise("planned"))
 
 

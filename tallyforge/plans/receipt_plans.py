@@ -94,7 +94,7 @@ def supplier_name_or_alias_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines, products and aliases: even parts are the catalogue, all parts appear as lines with small differences."""
-    p = A.read(spark, d, "part").where("p_partkey < 400")
+    p = A.read(spark, d, "part")
     lines = p.select(F.col("p_partkey").alias("line_id"), F.concat_ws(" ", F.upper("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("G"))), F.when(F.col("p_partkey") % 7 == 0, F.col("p_type"))).alias("description"), (F.col("p_retailprice") - F.when(F.col("p_partkey") % 11 == 0, 2000.0).otherwise(0.0)).alias("line_total"))
     products = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.concat_ws(" ", F.upper("p_name"), F.when(F.col("p_partkey") % 6 == 0, F.concat(F.col("p_size").cast("string"), F.lit("G")))).alias("name"))
     aliases = p.where("p_partkey % 8 = 0").select(F.col("p_partkey").alias("product_id"), F.concat_ws(" ", F.upper("p_name"), "p_type").alias("text"))
@@ -142,9 +142,9 @@ _ITEMS = """li AS (SELECT l_orderkey, l_linenumber, l_partkey, upper(p_name) AS
 it AS (SELECT *, CASE WHEN c % 5 = 0 THEN c % 7 + 10 ELSE 0 END AS off FROM li)"""
 _NORM = r"""trim(regexp_replace(regexp_replace(upper({0}), '[/\\,.:;_\-*="''!@#$%^&()]', ' ', 'g'), '\s+', ' ', 'g'))"""
 _STOP = "['" + "','".join(T.STOPWORDS) + "']"
-_LINES = """ls AS (SELECT p_partkey AS line_id, concat_ws(' ', upper(p_name), CASE WHEN p_partkey % 3 = 0 THEN p_size || 'G' END, CASE WHEN p_partkey % 7 = 0 THEN p_type END) AS description, p_retailprice - CASE WHEN p_partkey % 11 = 0 THEN 2000.0 ELSE 0.0 END AS line_total FROM part WHERE p_partkey < 400),
-ps AS (SELECT p_partkey AS product_id, concat_ws(' ', upper(p_name), CASE WHEN p_partkey % 6 = 0 THEN p_size || 'G' END) AS name FROM part WHERE p_partkey < 400 AND p_partkey % 2 = 0),
-al AS (SELECT p_partkey AS product_id, concat_ws(' ', upper(p_name), p_type) AS text FROM part WHERE p_partkey < 400 AND p_partkey % 8 = 0)"""
+_LINES = """ls AS (SELECT p_partkey AS line_id, concat_ws(' ', upper(p_name), CASE WHEN p_partkey % 3 = 0 THEN p_size || 'G' END, CASE WHEN p_partkey % 7 = 0 THEN p_type END) AS description, p_retailprice - CASE WHEN p_partkey % 11 = 0 THEN 2000.0 ELSE 0.0 END AS line_total FROM part),
+ps AS (SELECT p_partkey AS product_id, concat_ws(' ', upper(p_name), CASE WHEN p_partkey % 6 = 0 THEN p_size || 'G' END) AS name FROM part WHERE p_partkey % 2 = 0),
+al AS (SELECT p_partkey AS product_id, concat_ws(' ', upper(p_name), p_type) AS text FROM part WHERE p_partkey % 8 = 0)"""
 _TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda t: length(t) > 1 AND NOT list_contains(" + _STOP + ", t) AND NOT regexp_full_match(t, '[0-9]+')))"
 _TRI = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substr('  ' || {0} || '  ', i, 3)))"
 _UNIT = "CASE WHEN regexp_matches({0}, '\\b(\\d+)\\s*(KG|G|GR|ML|CL|L|LT|PZ)\\b') THEN CAST(CAST(regexp_extract({0}, '\\b(\\d+)\\s*(KG|G|GR|ML|CL|L|LT|PZ)\\b', 1) AS INT) AS VARCHAR) || regexp_extract({0}, '\\b(\\d+)\\s*(KG|G|GR|ML|CL|L|LT|PZ)\\b', 2) END"

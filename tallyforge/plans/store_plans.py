@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +71,7 @@ def default_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_reindex(spark: SparkSession, d: str) -> DataFrame:
-    s = A.read(spark, d, "documents").select("doc_id", F.col("source").alias("session")).where("doc_id % 3 <> 0")
+    s = A.read(spark, d, "documents").select("doc_id", F.col("source").alias("session"))
     return store.reindex(s, "session", ["doc_id"], "sequence_index")
 
 
@@ -136,13 +135,13 @@ def contact_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = A.read(spark, d, "orders").where("o_orderkey < 3000")
+    o = A.read(spark, d, "orders")
     n = F.col("o_orderkey")
     docs = o.select(
         n.alias("document_id"), F.when(n % 4 == 0, F.lit(0)).otherwise(F.col("o_totalprice")).cast(MONEY).alias("total"), (n % 5 == 0).alias("approved"), F.to_date("o_orderdate").alias("date"), F.when(n % 3 == 0, "cat-asked").alias("category_id"), F.when(n % 7 == 0, "cat-supplier").alias("supplier_category"),
         F.when(n % 50 == 1, F.concat(F.lit("e"), n.cast("string"))).alias("expense_id"), F.concat(F.lit("p"), n.cast("string")).alias("process_id"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("attachment_id"),
     )
-    lines = A.read(spark, d, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").cast(MONEY).alias("line_total"))
+    lines = A.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").cast(MONEY).alias("line_total"))
     lines = lines.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_index"), "line_total", F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cat-line-"), F.col("l_linenumber").cast("string"))).alias("category_id"))
     booked = o.where("o_orderkey % 9 = 0").select(F.concat(F.lit("x"), n.cast("string")).alias("id"), F.concat(F.lit("p"), n.cast("string")).alias("process_id"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("attachment_id"))
     booked = booked.unionByName(o.where("o_orderkey % 100 = 1").select(F.concat(F.lit("e"), n.cast("string")).alias("id"), *[F.lit(None).cast("string").alias(c) for c in ("process_id", "session_id", "attachment_id")]))
@@ -180,8 +179,7 @@ def backup_checksum(spark: SparkSession, d: str) -> DataFrame:
 
 def backup_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Write a backup to the shared folder, verify it and read a table back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-backup-", dir="/tmp")
-    path = f"{root}/backup-{spark.sparkContext.applicationId}-{id(object())}"
+    path = A.new_folder(spark, "backup")
     tables = {n: A.read(spark, d, n) for n in ("region", "nation", "supplier")}
     backup.write(tables, path)
     ok = backup.verify(spark, path).select("table", "rows", "ok")
@@ -199,8 +197,8 @@ def exchange_envelopes(spark: SparkSession, d: str) -> DataFrame:
 
 _REPORTS = """r AS (SELECT CAST((id - 1) // 12 AS INT) AS year, CAST((id - 1) % 12 + 1 AS INT) AS month, id % 3 = 0 AS fin FROM (SELECT unnest(range(23970, 23988)) AS id)),
 s AS (SELECT *, make_date(year, month, 1) + INTERVAL 1 MONTH <= TIMESTAMP '1998-07-01 00:00:00' AS due FROM r)"""
-_DOCS = """d AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, o_orderkey % 5 = 0 AS approved, o_orderdate FROM orders WHERE o_orderkey < 3000),
-l AS (SELECT l_orderkey AS n, l_linenumber AS i, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS t FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2),
+_DOCS = """d AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, o_orderkey % 5 = 0 AS approved, o_orderdate FROM orders),
+l AS (SELECT l_orderkey AS n, l_linenumber AS i, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS t FROM lineitem GROUP BY 1, 2),
 g AS (SELECT d.*, coalesce(s.t, 0) AS line_sum, abs(coalesce(s.t, 0) - total) AS gap, NOT (total > 0 AND coalesce(s.t, 0) > 0 AND abs(coalesce(s.t, 0) - total) > 0.01 AND NOT approved) AS passes FROM d LEFT JOIN (SELECT n, sum(t) AS t FROM l GROUP BY n) s USING (n)),
 x AS (SELECT g.*, CASE WHEN total > 0 THEN total ELSE line_sum END AS amount, CASE WHEN n % 3 = 0 THEN 'cat-asked' WHEN n % 7 = 0 THEN 'cat-supplier' ELSE coalesce('cat-line-' || (SELECT min(i) FROM l WHERE l.n = g.n AND i % 2 = 0), 'cat-other') END AS category_id
   FROM g WHERE passes AND n % 9 <> 0 AND n % 100 <> 1)"""
@@ -226,7 +224,7 @@ SELECT id, CASE WHEN c_name IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' W
     "max3_enforced": "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k > 3",
     "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1",
     "default_settings": "SELECT 'EUR' AS currency, 1 AS first_day",
-    "segment_reindex": "SELECT doc_id, source AS session, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS sequence_index FROM documents WHERE doc_id % 3 <> 0",
+    "segment_reindex": "SELECT doc_id, source AS session, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS sequence_index FROM documents",
     "file_hash_dedup": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "active_session_by_hash": "SELECT sha256(text) AS file_hash, max(doc_id) AS session_id, ['draft', 'ready'][CAST(max(doc_id) % 4 AS INT) + 1] AS status FROM documents WHERE doc_id % 4 < 2 GROUP BY 1",
     "document_assembly": "SELECT conv_id, CAST(count(*) AS INT) AS pages, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn, trim(text))) AS text_md5, floor(avg(length(trim(text)) % 101) + 0.5) AS confidence FROM conversations WHERE trim(text) <> '' GROUP BY 1",

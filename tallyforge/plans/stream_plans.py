@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import MONEY
+from tallyforge.sources.adapters import new_folder
 from tallyforge.streaming import live
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def _source(spark: SparkSession, d: str) -> DataFrame:
     return live.events(spark, f"{d}/events*.parquet")
 
 
 def stream_daily_totals(spark: SparkSession, d: str) -> DataFrame:
-    name = f"t_{uuid.uuid4().hex}"
-    live.run(live.daily_totals(_source(spark, d)), name, "complete", _folder(spark))
-    return spark.table(name).select("day", "event_type", "n", F.col("total").cast("double"))
+    totals = live.run(live.daily_totals(_source(spark, d)), new_folder(spark, "stream"), "complete")
+    return totals.select("day", "event_type", "n", F.col("total").cast("double"))
 
 
 def stream_dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
-    name = f"t_{uuid.uuid4().hex}"
     keyed = _source(spark, d).withColumn("key", F.concat_ws("_", "user_id", "event_type"))
-    live.run(live.once(keyed, ["key"], "60 days").select("key"), name, "append", _folder(spark))
-    return spark.table(name)
+    return live.run(live.once(keyed, ["key"], "60 days").select("key"), new_folder(spark, "stream"), "append")
 
 
 def stream_late_recompute(spark: SparkSession, d: str) -> DataFrame:
-    root = _folder(spark)
+    root = new_folder(spark, "stream")
     facts = _source(spark, d).select((F.year("ts") * 12 + F.month("ts")).alias("ym"), "event_type", F.col("value").cast(MONEY).alias("amount"))
     live.late_months(facts, f"{root}/facts", lambda f: f.groupBy("ym", "event_type").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total")), f"{root}/reports", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/reports")

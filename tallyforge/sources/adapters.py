@@ -6,6 +6,9 @@ projects. Column names are the records'. Each view selects few columns, so Parqu
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share. Only a local session without one set gets it in /tmp."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix=f"spark-{label}-", dir="/tmp")
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "planned").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "cancelled").otherwise("draft")
@@ -60,7 +73,7 @@ def saving_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    p = read(spark, sf_dir, "part")
     start = F.add_months(F.lit("1998-01-01").cast("date"), (F.col("p_partkey") / 50).cast("int") % 12)
     return p.select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").cast(MONEY).alias("target_amount"), F.col("p_size").cast(MONEY).alias("saved_amount"), F.col("p_size").cast(MONEY).alias("monthly_quota"),
@@ -69,7 +82,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    p = read(spark, sf_dir, "part")
     kind = F.col("p_partkey") / 10 % 7
     frequency = F.element_at(F.array(*map(F.lit, ["monthly", "bimonthly", "quarterly", "fourMonthly", "semiannual", "annual", "once"])), kind.cast("int") + 1)
     n = (F.col("p_partkey") / 10).cast("int")
@@ -96,10 +109,10 @@ SQL = {
     "projects": """projects AS (SELECT p_partkey AS id, p_name AS name, CAST(p_retailprice AS DECIMAL(18,2)) AS target_amount, CAST(p_size AS DECIMAL(18,2)) AS saved_amount, CAST(p_size AS DECIMAL(18,2)) AS monthly_quota,
   CAST(DATE '1998-01-01' + to_months(CAST(p_partkey // 50 % 12 AS INT)) AS DATE) AS start_date, p_size % 12 + 1 AS remaining_months,
   CASE WHEN p_size % 3 = 0 THEN CAST(DATE '1998-01-01' + to_months(CAST(p_partkey // 50 % 12 + p_size AS INT)) AS DATE) END AS target_date,
-  CASE WHEN p_size % 2 = 0 THEN 'active' ELSE 'completed' END AS status FROM part WHERE p_partkey % 50 = 0)""",
+  CASE WHEN p_size % 2 = 0 THEN 'active' ELSE 'completed' END AS status FROM part)""",
     "fixed": """fixed AS (SELECT p_partkey AS id, p_name AS name, CAST(p_retailprice AS DECIMAL(18,2)) AS expected_amount,
   ['monthly', 'bimonthly', 'quarterly', 'fourMonthly', 'semiannual', 'annual', 'once'][CAST(p_partkey // 10 % 7 AS INT) + 1] AS frequency, p_size % 32 AS due_day,
-  1998 * 12 + 1 + p_partkey // 10 % 12 AS start_ym, p_size % 12 + 1 AS duration_months, CASE WHEN p_size % 4 <> 0 THEN 'active' ELSE 'suspended' END AS status FROM part WHERE p_partkey % 10 = 0)""",
+  1998 * 12 + 1 + p_partkey // 10 % 12 AS start_ym, p_size % 12 + 1 AS duration_months, CASE WHEN p_size % 4 <> 0 THEN 'active' ELSE 'suspended' END AS status FROM part)""",
 }
 
 

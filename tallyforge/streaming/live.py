@@ -35,11 +35,25 @@ def once(stream: DataFrame, keys: list[str], delay: str = "2 days") -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """All that is there now, then stop."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(df: DataFrame, root: str, mode: str) -> DataFrame:
+    """All that is there now, then stop; the result is a table under root. In mode append each micro-batch adds its rows, in mode complete it replaces the table.
+
+    A micro-batch has a folder of its own, so one that runs again after a failure replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    rows = df.sparkSession.read.schema(f"{_ddl(df)}, batch long").parquet(f"{root}/rows")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("batch").alias("batch")), "batch")  # one row
+    return rows.drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
 def late_months(stream: DataFrame, facts_path: str, recompute: Callable[[DataFrame], DataFrame], reports_path: str, checkpoint: str) -> StreamingQuery:
