@@ -109,10 +109,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
         release()
 
 
-def with_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
-    """rows (saved ones, as they are read twice) with aggregates of their group, name=aggregate.
+def with_totals(rows: DataFrame, keys: list[str], scratch: Scratch, where: str | None = None, **totals: Column) -> DataFrame:
+    """rows (saved ones, as they are read twice) with aggregates of their group, name=aggregate; where: a condition on these that groups must meet.
 
-    The aggregation combines in each task before it shuffles, so a group sends one row from each. The join back has one row for each key on the other side, so a hot key is cut into
-    several tasks by Spark's adaptive skew join.
+    The aggregation combines in each task before it shuffles, so a group sends one row from each. Its result is saved: then the join has a plain shuffle on both sides, with one row for
+    each key on one of them, and Spark's adaptive skew join cuts a hot key of rows into several tasks.
     """
-    return rows.join(rows.groupBy(*keys).agg(*[column.alias(name) for name, column in totals.items()]), keys)
+    whole = rows.groupBy(*keys).agg(*[column.alias(name) for name, column in totals.items()])
+    return rows.join(scratch.save(whole.where(where) if where else whole, "totals"), keys)

@@ -123,9 +123,9 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n_shingles long, print1 long, print2 long, keys array<long>, odd array<long>")
 
 
-def _sized(cells: DataFrame) -> DataFrame:
+def _sized(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """Cells with two members at least: key, id, size, least (the smallest id)."""
-    return with_totals(cells, ["key"], size=F.count("*"), least=F.min("id")).where("size > 1")
+    return with_totals(cells, ["key"], scratch, "size > 1", size=F.count("*"), least=F.min("id"))
 
 
 def _pairs(cells: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
     rooted = cells.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")) if roots is not None else cells.select("key", "id", F.col("id").alias("root"))
     lo_hi = {"lo": F.min("root"), "hi": F.max("root")}
     rooted = scratch.save(rooted, "rooted")
-    mixed = scratch.save(with_totals(rooted, ["key"], **lo_hi).where("lo < hi").select("id", "root").distinct(), "mixed")
+    mixed = scratch.save(with_totals(rooted, ["key"], scratch, "lo < hi", **lo_hi).select("id", "root").distinct(), "mixed")
     scratch.drop(rooted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +166,18 @@ def _left_over(docs: DataFrame, cells: DataFrame, roots: DataFrame | None, scrat
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["id", "root", "n", "shingle"])
 
     sets = scratch.save(docs.join(mixed, "id").select("id", "root", "text").mapInArrow(run, "id long, root long, n long, shingle long"), "sets")
-    counted = with_totals(sets, ["shingle"], found=F.count("*"))
+    counted = with_totals(sets, ["shingle"], scratch, found=F.count("*"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("found", "shingle")) - 1
     heads = counted.withColumn("p", place).where("p <= n / 4 and found > 1").select("shingle", "id", "root", "n", (4 * F.col("n") - 7 * F.col("p")).alias("spare"))
     heads = scratch.save(heads, "heads")
     scratch.drop(sets)
-    mixed_heads = scratch.save(with_totals(heads, ["shingle"], **lo_hi).where("lo < hi").drop("lo", "hi"), "mixed-heads")
+    mixed_heads = scratch.save(with_totals(heads, ["shingle"], scratch, "lo < hi", **lo_hi).drop("lo", "hi"), "mixed-heads")
     scratch.drop(heads)
-    members = scratch.save(with_totals(mixed_heads, ["shingle", "root"], size=F.count("*"), most=F.max("spare"), fewest=F.min("n")), "members")
+    members = scratch.save(with_totals(mixed_heads, ["shingle", "root"], scratch, size=F.count("*"), most=F.max("spare"), fewest=F.min("n")), "members")
     scratch.drop(mixed_heads)
 
     groups = scratch.save(members.select("shingle", "root", "size", "most", "fewest").distinct(), "groups")
-    groups = with_totals(groups, ["shingle"], groups=F.count("*"))
+    groups = with_totals(groups, ["shingle"], scratch, groups=F.count("*"))
     one = groups.select("shingle", F.pmod(F.xxhash64("root"), _in_parts("groups")).alias("block"), F.col("root").alias("r"), F.col("size").alias("r_size"), F.col("most").alias("r_most"), F.col("fewest").alias("r_fewest"))
     two = groups.select("shingle", F.explode(F.sequence(F.lit(0), _in_parts("groups") - 1)).alias("block"), F.col("root").alias("t"), F.col("size").alias("t_size"), F.col("most").alias("t_most"), F.col("fewest").alias("t_fewest"))
     meet = one.join(two, ["shingle", "block"]).where("r < t and r_most >= 3 * t_fewest and t_most >= 3 * r_fewest").drop("block")
@@ -231,9 +231,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     last = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = with_totals(both, ["a"], m=F.min("b")).withColumn("m", F.least("a", "m"))
+        seen = with_totals(both, ["a"], scratch, m=F.min("b")).withColumn("m", F.least("a", "m"))
         large = scratch.save(seen.where("b > a or m < a").select(F.col("m").alias("a"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")).where("a < b").distinct(), "large")
-        back = with_totals(large.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a"], m=F.min("b"))
+        back = with_totals(large.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a"], scratch, m=F.min("b"))
         small = back.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         new = scratch.save(small, "small")
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
@@ -262,11 +262,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     facts = reps.select("id", "n", "odd")
     # a half key that no other class has can't make a cell, so only shared ones are combined
     halves = reps.select("id", F.posexplode("keys").alias("at", "half")).select(F.xxhash64("at", "half").alias("key"), "id", "at")
-    halves = scratch.save(halves.join(halves.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id", "at", "key"), "halves")
+    shared = scratch.save(halves.groupBy("key").count().where("count > 1").select("key"), "shared")
+    halves = scratch.save(halves.join(shared, "key", "left_semi").select("id", "at", "key"), "halves")
     u, v = halves.where(F.col("at") < SIDE).select("id", F.col("key").alias("u")), halves.where(F.col("at") >= SIDE).select("id", F.col("key").alias("v"))
     met = scratch.save(u.join(v, "id").select(F.xxhash64("u", "v").alias("key"), "id"), "met")
     scratch.drop(halves)
-    cells = scratch.save(_sized(met), "cells")
+    cells = scratch.save(_sized(met, scratch), "cells")
     scratch.drop(met)
     # All candidates come from these cells, so whole texts move once. Their ids grow with the input: a shuffled join, whatever their size.
     texts = scratch.save(texts.join(cells.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -290,7 +291,7 @@ def cluster(docs: DataFrame) -> DataFrame:
         # next: cells that still hold several components, one class of each
         root = F.coalesce("root", "id")
         fewer = scratch.save(cells.select("key", "id").join(roots, "id", "left").groupBy("key", root.alias("r")).agg(F.min("id").alias("id")).select("key", "id"), "fewer")
-        cells = scratch.save(_sized(fewer), "cells")
+        cells = scratch.save(_sized(fewer, scratch), "cells")
         scratch.drop(fewer)
 
     if compared is not None and not large.isEmpty():

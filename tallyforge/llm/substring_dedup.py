@@ -207,8 +207,11 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     """id, mark, at, first, last: runs of starts whose span occurs anywhere else, as a saved table. parts: id, mark, at, raw."""
     # round 1
     found = scratch.save(scan(parts, span, gram), "samples")
-    again = scratch.save(found.join(found.groupBy("rank1").count().where("count > 1"), "rank1", "left_semi"), "again")
+    # counts are saved, so that the join has a plain shuffle on both sides and a hot rank is cut into several tasks
+    twice = scratch.save(found.groupBy("rank1").count().where("count > 1").select("rank1"), "twice")
+    again = scratch.save(found.join(twice, "rank1", "left_semi"), "again")
     scratch.drop(found)
+    scratch.drop(twice)
     sweep(scratch.spark)
     # round 2
     rank, member = ["rank1", "back", "n", "rank2"], F.struct(*KEY, "first")
@@ -216,7 +219,8 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     whole = again.join(ranks.where("of2 > 1"), rank, "left_semi").select(*KEY, "first", (F.col("first") + F.col("n") - 1).alias("last"))
     # round 3: the ranks that agree with another one at the sample, if one of them at least is alone with its bytes
     chosen = ranks.select("rank1", "back", "n", "chosen.*", (F.col("of2") == 1).alias("lonely"))
-    left = chosen.join(ranks.groupBy("rank1").agg(F.count("*").alias("ranks"), F.max(F.col("of2") == 1).alias("alone")).where("ranks > 1 and alone"), "rank1")
+    mixed = scratch.save(ranks.groupBy("rank1").agg(F.count("*").alias("ranks"), F.max(F.col("of2") == 1).alias("alone")).where("ranks > 1 and alone"), "mixed")
+    left = chosen.join(mixed, "rank1")
     left = scratch.save(left.select("rank1", "back", "n", *KEY, "first", "lonely", (F.col("ranks") > many).alias("hot")), "left")
     wanted = left.groupBy(*KEY).agg(F.collect_list(F.struct("rank1", "back", "n", "first", "lonely", "hot")).alias("wanted"))
     # of repeated rows one speaks for all; texts move once for both ways of comparing
@@ -229,7 +233,7 @@ def repeats(parts: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GR
     if not left.where("hot").isEmpty():
         hot = own.withColumn("wanted", F.filter("wanted", lambda w: w["hot"])).mapInArrow(_members(span), MEMBER).mapInArrow(_by_start(span), f"key long, lonely boolean, {KEY_TYPES}, first int")
         hot = scratch.save(hot, "hot")
-        hot_spans = scratch.save(with_totals(hot, ["key"], times=F.count("*")).where("times > 1 and lonely").select(*KEY, "first", F.col("first").alias("last")), "hot-spans")
+        hot_spans = scratch.save(with_totals(hot, ["key"], scratch, "times > 1", times=F.count("*")).where("lonely").select(*KEY, "first", F.col("first").alias("last")), "hot-spans")
         scratch.drop(hot)
         out = out.unionByName(hot_spans)
     for table_ in (again, ranks, left, own):
