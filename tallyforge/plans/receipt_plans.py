@@ -37,7 +37,8 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
 
 def receipt_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     df = rendered(spark, d).withColumn("lines", receipts.lines_of(F.col("text"))).select("order_id", receipts.line_items().alias("items"))
-    one = df.select("order_id", F.explode("items").alias("x"))
+    # outer: else Spark tests the size of the items first, and folds every receipt again for that
+    one = df.select("order_id", F.explode_outer("items").alias("x")).where("x is not null")
     return one.select("order_id", F.col("x.description").alias("description"), F.col("x.line_total").alias("line_total"), F.col("x.discount").alias("discount"), F.col("x.confidence").alias("confidence"))
 
 
@@ -57,6 +58,14 @@ def receipt_consistency_flags(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select(F.explode_outer(F.filter("flags", lambda f: f != "POSSIBLE_DUPLICATE_LINES")).alias("flag")).groupBy(F.coalesce("flag", F.lit("none")).alias("flag")).agg(F.count("*").alias("n"))
 
 
+def receipt_amount_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Subtotal, discounts and VAT written into a receipt and read back."""
+    n = F.col("o_orderkey")
+    text = F.concat(F.lit("SPESA 1,00\nSUBTOTALE "), _money_text(n * 37 % 90000 + 50), F.lit("\nSCONTO TOTALE "), _money_text(n % 700 + 1), F.lit("\nIVA 4% "), _money_text(n % 300), F.lit("\nIVA 22% "), _money_text(n % 500))
+    df = A.read(spark, d, "orders").select(n.alias("order_id"), receipts.lines_of(text).alias("lines"))
+    return df.select("order_id", receipts.subtotal().alias("subtotal"), receipts.discounts().alias("discounts"), receipts.vat().alias("vat"))
+
+
 def italian_number_parse(spark: SparkSession, d: str) -> DataFrame:
     """Prices written in four forms and read back."""
     li = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("c"))
@@ -168,7 +177,7 @@ fin AS (SELECT line_id, CASE WHEN hit THEN product_id END AS product_id, coalesc
 QUERIES = {
     f.__name__: f
     for f in (
-        receipt_lines_roundtrip, receipt_total_roundtrip, receipt_fields_roundtrip, receipt_consistency_flags, italian_number_parse, text_normalize_product, product_trigrams, extract_codes, vat_checksum, supplier_name_or_alias_match,
+        receipt_lines_roundtrip, receipt_total_roundtrip, receipt_fields_roundtrip, receipt_consistency_flags, receipt_amount_fields, italian_number_parse, text_normalize_product, product_trigrams, extract_codes, vat_checksum, supplier_name_or_alias_match,
         product_match_equality, product_match_fingerprint, product_match_decisions, classification_counters, alias_learning,
     )
 }
@@ -179,6 +188,7 @@ ORACLE_SQL = {
     "receipt_fields_roundtrip": """SELECT o_orderkey AS order_id, 'MERCATO ' || o_custkey || ' S.R.L.' AS supplier, 'VIA ROMA 1 - 20100 MILANO' AS address, 'P.IVA 01234567897' AS tax_number, 95 AS tax_confidence, (year(o_orderdate) + 10) || strftime(o_orderdate, '-%m-%d') AS date,
   lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30' AS time, ['contanti', 'bancomat', 'carta'][CAST(o_orderkey % 3 AS INT) + 1] AS payment FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey)""",
     "receipt_consistency_flags": "SELECT CASE WHEN o_orderdate + INTERVAL 10 YEAR > DATE '2005-06-30' AND NOT (strftime(o_orderdate, '%m-%d') = '02-29' AND (year(o_orderdate) + 10) % 4 <> 0) THEN 'FUTURE_DATE_WARNING' ELSE 'none' END AS flag, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1",
+    "receipt_amount_fields": "SELECT o_orderkey AS order_id, (o_orderkey * 37 % 90000 + 50) / 100.0::DOUBLE AS subtotal, (o_orderkey % 700 + 1) / 100.0::DOUBLE AS discounts, (o_orderkey % 300 + o_orderkey % 500) / 100.0::DOUBLE AS vat FROM orders",
     "italian_number_parse": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 IN (2, 3) THEN -c / 100.0 ELSE c / 100.0 END AS value, count(*) AS n FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS c FROM lineitem) GROUP BY 1, 2, 3",
     "text_normalize_product": f"""WITH r AS (SELECT p_partkey AS id, concat_ws(' - ', p_name, 'di', 'CONF.', p_brand, p_type) AS t FROM part), n AS (SELECT id, {_NORM.format('t')} AS norm FROM r)
 SELECT id, norm, array_to_string(list_filter(string_split(norm, ' '), lambda x: NOT list_contains({_STOP}, x) OR x IN ('DI', 'CON', 'IN')), ' ') AS name, array_to_string(list_sort(list_filter(string_split(norm, ' '), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x) AND NOT regexp_full_match(x, '[0-9]+'))), '|') AS tokens FROM n""",

@@ -184,8 +184,11 @@ def test_flyer_dates_lose_to_the_document_date(spark):
     assert (r.d.value, r.t) == ("2026-05-12", "14:30")
 
 
-def test_folding_rules():
-    fold = lambda *lines: [(i["description"], i["line_total"], i["warning"]) for i in receipts.fold_lines(list(lines))]
+def test_folding_rules(spark):
+    def fold(*lines):
+        row = spark.createDataFrame([(list(lines),)], "lines array<string>").select(receipts.line_items().alias("items")).first()
+        return [(i["description"], i["line_total"], i["warning"]) for i in row["items"]]
+
     assert fold("PANE 1,20", "SCONTO -0,20", "COUPON -1,00") == [("PANE", 1.0, None), ("COUPON", -1.0, "DISCOUNT_LINE")]
     assert fold("LATTE -1,20", "VUOTO 2,00-") == [("LATTE", -1.2, None), ("VUOTO", -2.0, None)]
     assert fold("PANE 1,00", "FORMAGGIO STAGIONATO", "DOLCE 4,00") == [("PANE", 1.0, None), ("FORMAGGIO STAGIONATO DOLCE", 4.0, None)]
