@@ -306,6 +306,13 @@ def supplier_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return df.select("order_id", F.size("a").alias("n"), F.get("a", 0).alias("second"), F.get("a", 1).alias("third"))
 
 
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read by an injected recognizer, here one that takes the bytes as text."""
+    pages = A.read(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
+    read = receipts.recognised(pages, lambda c: F.struct(c.cast("string").alias("text"), (F.length(c) % 101).alias("confidence")))
+    return read.select("conv_id", "turn", F.md5("text").alias("text_md5"), "read_confidence")
+
+
 def receipt_duplicate_lines(spark: SparkSession, d: str) -> DataFrame:
     return receipts.parse(rendered(spark, d), now="2004-06-30").where(F.array_contains("flags", "POSSIBLE_DUPLICATE_LINES")).select("order_id")
 
@@ -336,7 +343,7 @@ QUERIES = {
         expenses_page, incomes_page, category_menu, notifications_page, draft_sessions_page, pending_review_sessions, suppliers_by_name, nonzero_categories, session_page_counts, session_thumbnails, attachment_owners, capture_session_states, contact_conflicts,
         contributor_slot_reuse, seed_twice, inserted_expenses, review_line_projection, review_draft_saved, review_decisions, decided_categories, product_profiles, report_snapshots, closing_notes, report_titles, provision_bookings, project_purchases, monthly_equivalents,
         reserve_guard, upcoming_totals, licence_validity, licence_windows, licence_offline_states, clock_rollbacks, contributor_form_errors, goal_entries, fixed_expense_form_errors, contact_request_checks, competence_months, file_sizes, supplier_alternatives,
-        receipt_duplicate_lines,
+        receipt_duplicate_lines, recognised_pages,
     )
 }
 
@@ -420,5 +427,6 @@ FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 0 AND o_orderkey % 5
     "file_sizes": """WITH s AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * o_orderkey % 5 * 512 + o_orderkey % 3 * 4194304 ELSE 0 END AS b FROM orders)
 SELECT n AS id, CASE WHEN b = 0 THEN '0 B' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) ELSE format('{:.1f} MB', b / 1048576.0) END AS size FROM s""",
     "supplier_alternatives": "SELECT o_orderkey AS order_id, 3 AS n, 'VIA ROMA 1' AS second, '20100 MILANO' AS third FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey)",
+    "recognised_pages": "SELECT conv_id, turn, md5(text) AS text_md5, CAST(strlen(text) % 101 AS INT) AS read_confidence FROM conversations",
     "receipt_duplicate_lines": f"WITH {_ITEMS} SELECT DISTINCT l_orderkey AS order_id FROM it JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, lower(name), c - off HAVING count(*) > 1",
 }
