@@ -63,6 +63,15 @@ def reindex(df: DataFrame, group: str, order: list[str], to: str) -> DataFrame:
     return df.withColumn(to, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
 
 
+def reorder(df: DataFrame, wanted: DataFrame, group: str, key: str, to: str) -> DataFrame:
+    """Explicit order: each listed row takes its place in its group's list, the last one if it is listed twice. Unlisted rows keep their number; entries of other groups do nothing.
+
+    wanted: group, key, position. One join on the key, whatever the size of a group.
+    """
+    places = wanted.groupBy(group, key).agg(F.max("position").alias("_place"))
+    return df.join(places, [group, key], "left").withColumn(to, F.coalesce("_place", to)).select(*df.columns)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in an explicit order."""
     rest = [c for c in df.columns if c not in keys]

@@ -75,6 +75,14 @@ def segment_reindex(spark: SparkSession, d: str) -> DataFrame:
     return store.reindex(s, "session", ["doc_id"], "sequence_index")
 
 
+def segment_reorder(spark: SparkSession, d: str) -> DataFrame:
+    """Even documents are listed twice, the later place counts; every fifth is listed under another session, where it does nothing."""
+    s = A.read(spark, d, "documents").select("doc_id", F.col("source").alias("session"), F.col("n_chars").cast("long").alias("sequence_index"))
+    place = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id"), F.col("doc_id") + 7))
+    listed = s.select(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("not "), "session")).otherwise(F.col("session")).alias("session"), "doc_id", F.explode(place).alias("position"))
+    return store.reorder(s, listed, "session", "doc_id", "sequence_index")
+
+
 def file_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
     s = A.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
     return s.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -206,7 +214,7 @@ x AS (SELECT g.*, CASE WHEN total > 0 THEN total ELSE line_sum END AS amount, CA
 QUERIES = {
     f.__name__: f
     for f in (
-        last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, file_hash_dedup, active_session_by_hash,
+        last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, file_hash_dedup, active_session_by_hash,
         document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
     )
 }
@@ -225,6 +233,7 @@ SELECT id, CASE WHEN c_name IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' W
     "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1",
     "default_settings": "SELECT 'EUR' AS currency, 1 AS first_day",
     "segment_reindex": "SELECT doc_id, source AS session, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS sequence_index FROM documents",
+    "segment_reorder": "SELECT doc_id, source AS session, CASE WHEN source IS NOT NULL AND doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN doc_id + 7 ELSE CAST(n_chars AS BIGINT) END AS sequence_index FROM documents",
     "file_hash_dedup": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "active_session_by_hash": "SELECT sha256(text) AS file_hash, max(doc_id) AS session_id, ['draft', 'ready'][CAST(max(doc_id) % 4 AS INT) + 1] AS status FROM documents WHERE doc_id % 4 < 2 GROUP BY 1",
     "document_assembly": "SELECT conv_id, CAST(count(*) AS INT) AS pages, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn, trim(text))) AS text_md5, floor(avg(length(trim(text)) % 101) + 0.5) AS confidence FROM conversations WHERE trim(text) <> '' GROUP BY 1",
