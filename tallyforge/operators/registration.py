@@ -9,6 +9,8 @@ from tallyforge.functions.money import MONEY
 
 #: Fixed value: the difference of sums that still passes, in money.
 TOLERANCE = 0.01
+#: Codes of the categories that stand in when nothing else is known.
+STAND_IN_CODES = ["CAT_FOOD", "CAT_MISC"]
 
 
 def already_booked(requests: DataFrame, expenses: DataFrame) -> DataFrame:
@@ -36,6 +38,25 @@ def resolve_category(documents: DataFrame, lines: DataFrame, fallback: str) -> D
     return documents.join(first, "document_id", "left").select("document_id", F.coalesce("category_id", "supplier_category", "line_category", F.lit(fallback)).alias("category_id"))
 
 
+def resolve_with_codes(documents: DataFrame, lines: DataFrame, categories: DataFrame) -> DataFrame:
+    """document_id, category_id, subcategory_id: the pair asked for, the supplier's, that of the first line with a category, else the stand-in category, found by its code.
+
+    A missing subcategory is the category's first child, or the category itself. documents: document_id, category_id, subcategory_id, supplier_category, supplier_subcategory; lines: document_id,
+    line_index, category_id, subcategory_id; categories: id, parent_id, code, sort_order (null counts as 0).
+    """
+    place = F.struct(F.coalesce("sort_order", F.lit(0)), "id")
+    stand_in = categories.agg(F.min_by("id", F.struct(~F.coalesce(F.col("code").isin(STAND_IN_CODES), F.lit(False)), place)).alias("stand_in"))
+    children = categories.where("parent_id is not null").groupBy(F.col("parent_id").alias("category_id")).agg(F.min_by("id", place).alias("child"))
+    pair = F.struct(F.col("category_id").alias("c"), F.col("subcategory_id").alias("s"))
+    first = lines.where("category_id is not null").groupBy("document_id").agg(F.min_by(pair, F.struct("line_index", pair)).alias("line"))
+    asked = F.when(F.col("category_id").isNotNull(), pair)
+    supplier = F.when(F.col("supplier_category").isNotNull(), F.struct(F.col("supplier_category").alias("c"), F.col("supplier_subcategory").alias("s")))
+    last = F.struct(F.col("stand_in").alias("c"), F.col("subcategory_id").alias("s"))
+    picked = documents.join(first, "document_id", "left").crossJoin(F.broadcast(stand_in)).select("document_id", F.coalesce(asked, supplier, "line", last).alias("p"))  # one row
+    picked = picked.select("document_id", F.col("p.c").alias("category_id"), F.col("p.s").alias("s")).join(children, "category_id", "left")
+    return picked.select("document_id", "category_id", F.coalesce("s", "child", "category_id").alias("subcategory_id"))
+
+
 def register(documents: DataFrame, lines: DataFrame, expenses: DataFrame, fallback: str) -> dict[str, DataFrame]:
     """New rows of every table the registration touches: expense, items, audit. Documents that are booked already or don't pass the gate have none."""
     requests = documents.select(F.col("document_id").alias("request_id"), "expense_id", "process_id", "session_id", "attachment_id")

@@ -75,6 +75,15 @@ def segment_reindex(spark: SparkSession, d: str) -> DataFrame:
     return store.reindex(s, "session", ["doc_id"], "sequence_index")
 
 
+def expense_categories(spark: SparkSession, d: str) -> DataFrame:
+    region = lambda number: F.concat(F.lit("r"), (F.col(number) % 5).cast("string"))
+    n, part = F.col("o_orderkey"), F.col("l_partkey")
+    docs = A.read(spark, d, "orders").select(n.alias("document_id"), F.when(n % 3 == 0, region("o_custkey")).alias("category_id"), F.when(n % 4 == 0, F.lit("asked")).alias("subcategory_id"), F.when(n % 7 == 0, region("o_orderkey")).alias("supplier_category"), F.lit(None).cast("string").alias("supplier_subcategory"))
+    lines = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_index"), F.when(part % 2 == 0, region("l_suppkey")).alias("category_id"), F.when(part % 4 == 0, F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))).alias("subcategory_id"))
+    cats = A.categories(spark, d).select("id", "parent_id", F.when(F.col("name") == "EUROPE", F.lit("CAT_MISC")).alias("code"), F.length("name").alias("sort_order"))
+    return registration.resolve_with_codes(docs, lines, cats)
+
+
 def segment_reorder(spark: SparkSession, d: str) -> DataFrame:
     """Even documents are listed twice, the later place counts; every fifth is listed under another session, where it does nothing."""
     s = A.read(spark, d, "documents").select("doc_id", F.col("source").alias("session"), F.col("n_chars").cast("long").alias("sequence_index"))
@@ -214,7 +223,7 @@ x AS (SELECT g.*, CASE WHEN total > 0 THEN total ELSE line_sum END AS amount, CA
 QUERIES = {
     f.__name__: f
     for f in (
-        last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, file_hash_dedup, active_session_by_hash,
+        last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, expense_categories, file_hash_dedup, active_session_by_hash,
         document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
     )
 }
@@ -233,6 +242,13 @@ SELECT id, CASE WHEN c_name IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' W
     "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1",
     "default_settings": "SELECT 'EUR' AS currency, 1 AS first_day",
     "segment_reindex": "SELECT doc_id, source AS session, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS sequence_index FROM documents",
+    "expense_categories": """WITH c AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation),
+k AS (SELECT id AS stand_in FROM c ORDER BY name <> 'EUROPE', length(name), id LIMIT 1), s AS (SELECT parent, first(id ORDER BY length(name), id) AS child FROM c WHERE parent IS NOT NULL GROUP BY 1),
+l AS (SELECT l_orderkey AS n, l_linenumber AS i, 'r' || (l_suppkey % 5) AS c, CASE WHEN l_partkey % 4 = 0 THEN 'line' || l_linenumber END AS s FROM lineitem WHERE l_partkey % 2 = 0),
+f AS (SELECT n, c, s FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY i, c, s NULLS FIRST) AS k FROM l) WHERE k = 1),
+p AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'r' || (o_custkey % 5) WHEN o_orderkey % 7 = 0 THEN 'r' || (o_orderkey % 5) ELSE coalesce(f.c, stand_in) END AS c,
+  CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 <> 0 AND f.c IS NOT NULL THEN f.s WHEN o_orderkey % 4 = 0 THEN 'asked' END AS s FROM orders LEFT JOIN f ON f.n = o_orderkey CROSS JOIN k)
+SELECT n AS document_id, c AS category_id, coalesce(p.s, child, c) AS subcategory_id FROM p LEFT JOIN s ON s.parent = p.c""",
     "segment_reorder": "SELECT doc_id, source AS session, CASE WHEN source IS NOT NULL AND doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN doc_id + 7 ELSE CAST(n_chars AS BIGINT) END AS sequence_index FROM documents",
     "file_hash_dedup": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "active_session_by_hash": "SELECT sha256(text) AS file_hash, max(doc_id) AS session_id, ['draft', 'ready'][CAST(max(doc_id) % 4 AS INT) + 1] AS status FROM documents WHERE doc_id % 4 < 2 GROUP BY 1",
