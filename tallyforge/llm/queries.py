@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat_format, exact_dedup, language_id, near_dedup, packing, page_text, pieces, quality_rules, substring_dedup, toxicity
+from tallyforge.llm import (
+    chat_format,
+    exact_dedup,
+    fill_middle,
+    language_id,
+    near_dedup,
+    packing,
+    page_text,
+    pieces,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    turn_repair,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,8 +29,13 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_quality_classifier": quality_model.op11_quality_classifier,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_conversation_repair": turn_repair.op13_conversation_repair,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op6_chat_formatting": chat_format.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
+    "op13_conversation_repair": turn_repair.ORACLE,
 }
