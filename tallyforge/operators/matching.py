@@ -1,8 +1,7 @@
 """Entity resolution: receipt lines against the product catalogue, and names against suppliers.
 
 Equality rules are equi-joins (an OR of two equalities is a union of two joins). The fingerprint rule compares texts; lines and products are first reduced to their distinct
-texts, pairs come from an equi-join on trigrams, and the number of matches of a pair is the size of the intersection, so no pair of sets is intersected again. Texts without
-a common trigram can't reach the score of a match.
+texts, and only pairs that can reach the score of a candidate meet (similarity.py).
 """
 
 from __future__ import annotations
@@ -12,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.money import js_round
+from tallyforge.operators import prices, similarity
 
 #: Least score of a candidate and of a match, and the gap under which two candidates are ambiguous.
 CANDIDATE, MATCH, GAP = 35, 50, 10
+#: Words of lines that adjust a total and are no product.
 ADJUSTMENT = r"(?i)SCONTO|ABBUONO|PROMO|PROMOZIONE|COUPON|BUONO|ARROTONDAMENTO|RESO|STORNO|RESTITUITO"
 
 
@@ -31,15 +32,17 @@ def fingerprints(df: DataFrame, key: str, text: Column, **given: Column) -> Data
     return df.select(key, *[(F.coalesce(given[k], v) if k in given else v).alias(k) for k, v in part.items()])
 
 
-def score(exact: Column, tokens: Column, trigrams: Column, brands: tuple[Column, Column], units: tuple[Column, Column], same_supplier: Column, price_ratio: Column | None = None) -> Column:
-    """0 to 100 from the parts of two fingerprints: text 75 at most, brand +15 or -20, unit +10, supplier +10, price +5 or -25."""
-    words = F.when(exact, F.lit(75.0)).otherwise(js_round(tokens * 40.0 + trigrams * 35.0))
-    brand = F.when(brands[0] == brands[1], 15).when(brands[0] != brands[1], -20).otherwise(0)
-    unit = F.when(units[0] == units[1], 10).otherwise(0)
-    total = words + brand + unit + F.when(same_supplier, 10).otherwise(0)
-    if price_ratio is not None:
-        total = total + F.when(price_ratio.between(0.7, 1.4), 5).when((price_ratio > 3.0) | (price_ratio < 0.2), -25).otherwise(0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
+def total(exact: Column, tokens: Column, trigrams: Column, brands: tuple[Column, Column], units: tuple[Column, Column], same_supplier: Column) -> Column:
+    """Points from the parts of two fingerprints: text 75 at most, brand +15 or -20, unit +10, supplier +10."""
+    words = F.when(exact, F.lit(similarity.SAME_TEXT)).otherwise(js_round(tokens * similarity.WORDS + trigrams * similarity.TRIGRAMS))
+    brand = F.when(brands[0] == brands[1], similarity.BRAND).when(brands[0] != brands[1], similarity.OTHER_BRAND).otherwise(0)
+    unit = F.when(units[0] == units[1], similarity.UNIT).otherwise(0)
+    return words + brand + unit + F.when(same_supplier, similarity.SUPPLIER).otherwise(0)
+
+
+def within(points: Column) -> Column:
+    """A score, from 0 to 100."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), points))
 
 
 def by_barcode(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -53,22 +56,51 @@ def by_equality(lines: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     return one.unionByName(two).groupBy("line_id", "product_id").agg(F.max("score").alias("score")).withColumn("kind", F.lit(kind))
 
 
-def by_fingerprint(lines: DataFrame, products: DataFrame, same_supplier: bool = False) -> DataFrame:
-    """Candidates of fingerprints (line_id / product_id and parts) with a score of CANDIDATE at least."""
+def _text_id() -> Column:
+    return F.xxhash64("norm", "brand", "barcode", "unit", F.array_sort("tokens"), F.array_sort("trigrams"))
+
+
+def _compared(lines: DataFrame, products: DataFrame, same_supplier: bool, least: float) -> DataFrame:
+    """line_id, product_id, points and same_code of fingerprints (line_id / product_id and parts) with `least` points or the same barcode.
+
+    Distinct texts are compared, however many lines have them; the pairs that can reach the points come from a join with thresholds, and each of them is scored in full.
+    """
     parts = ["norm", "tokens", "trigrams", "brand", "barcode", "unit"]
-    # distinct fingerprints: what is compared are texts, however many lines have them
-    a = lines.select(*parts).distinct().withColumn("a", F.xxhash64("norm", "brand", "barcode", "unit", F.array_sort("tokens"), F.array_sort("trigrams")))
-    b = products.select(*parts).distinct().withColumn("b", F.xxhash64("norm", "brand", "barcode", "unit", F.array_sort("tokens"), F.array_sort("trigrams")))
-    met = a.select("a", F.explode("trigrams").alias("t")).join(b.select("b", F.explode("trigrams").alias("t")), "t").groupBy("a", "b").agg(F.count("*").alias("common"))
-    x, y = a.select("a", *[F.col(c).alias(f"x_{c}") for c in parts]), b.select("b", *[F.col(c).alias(f"y_{c}") for c in parts])
+    a, b = (df.select(*parts).distinct().withColumn("id", _text_id()) for df in (lines, products))
+    met = similarity.candidates(a, b, least, same_supplier)
+    x, y = (df.select(F.col("id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in parts]) for df, k, p in ((a, "a", "x"), (b, "b", "y")))
     pair = met.join(x, "a").join(y, "b")
-    tri = F.col("common") / (F.size("x_trigrams") + F.size("y_trigrams") - F.col("common"))
     exact = (F.col("x_norm") == F.col("y_norm")) & (F.col("x_norm") != "")
-    s = score(exact, T.jaccard(F.col("x_tokens"), F.col("y_tokens")), tri, (F.col("x_brand"), F.col("y_brand")), (F.col("x_unit"), F.col("y_unit")), F.lit(same_supplier))
-    s = F.when(F.col("x_barcode") == F.col("y_barcode"), F.lit(100.0)).otherwise(s)
-    kept = pair.withColumn("score", s).where(F.col("score") >= CANDIDATE).select("a", "b", "score")
-    of = lambda df, name: df.withColumn(name, F.xxhash64("norm", "brand", "barcode", "unit", F.array_sort("tokens"), F.array_sort("trigrams")))
-    return of(lines, "a").select("line_id", "a").join(kept, "a").join(of(products, "b").select("product_id", "b"), "b").select("line_id", "product_id", "score", F.lit("fingerprint").alias("kind"))
+    words, grams = T.jaccard(F.col("x_tokens"), F.col("y_tokens")), T.jaccard(F.col("x_trigrams"), F.col("y_trigrams"))
+    points = total(exact, words, grams, (F.col("x_brand"), F.col("y_brand")), (F.col("x_unit"), F.col("y_unit")), F.lit(same_supplier))
+    code = F.coalesce(F.col("x_barcode") == F.col("y_barcode"), F.lit(False))
+    kept = pair.select("a", "b", points.alias("points"), code.alias("same_code")).where(F.col("same_code") | (F.col("points") >= least))
+    of = lambda df, key, name: df.select(key, _text_id().alias(name))
+    return of(lines, "line_id", "a").join(kept, "a").join(of(products, "product_id", "b"), "b").select("line_id", "product_id", "points", "same_code")
+
+
+def by_fingerprint(lines: DataFrame, products: DataFrame, same_supplier: bool = False, least: float = CANDIDATE) -> DataFrame:
+    """Candidates of fingerprints with a score of `least` at least; an equal barcode scores 100."""
+    found = _compared(lines, products, same_supplier, least)
+    return found.select("line_id", "product_id", F.when(F.col("same_code"), 100.0).otherwise(within(F.col("points"))).alias("score"), F.lit("fingerprint").alias("kind"))
+
+
+def compared_with_prices(lines: DataFrame, products: DataFrame, bought: DataFrame, history: DataFrame, same_supplier: bool = False, least: float = CANDIDATE) -> DataFrame:
+    """line_id, product_id, score with prices, score_before without, price_ratio and anomaly, of all pairs that reach `least` with or without.
+
+    A price near the product's mean before the day of the line adds to the score, one far off takes from it. bought: line_id, day, cents (of a unit); history: product_id, day, cents.
+    """
+    # a plausible price lifts what the texts alone don't reach
+    found = _compared(lines, products, same_supplier, least - prices.PLAUSIBLE_SCORE).join(bought.select("line_id", "day", "cents"), "line_id", "left")
+    before = prices.as_of(found, history).select("product_id", "day", "mean")
+    found = found.join(before, ["product_id", "day"], "left").withColumn("price_ratio", prices.ratio(F.col("cents"), F.col("mean")))
+    extra = prices.plausibility(F.col("price_ratio"))
+    scored = lambda points: F.when(F.col("same_code"), 100.0).otherwise(within(points))
+    found = found.select(
+        "line_id", "product_id", scored(F.col("points") + extra).alias("score"), scored(F.col("points")).alias("score_before"), "price_ratio",
+        (~F.col("same_code") & (extra == prices.ANOMALOUS_SCORE)).alias("anomaly"),
+    )
+    return found.where(F.greatest("score", "score_before") >= least)
 
 
 def decide(lines: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import matching, receipts
+from tallyforge.operators import matching, prices, receipts
 from tallyforge.sources import adapters as A
 
 
@@ -110,26 +110,72 @@ def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     return lines, products, aliases
 
 
+def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, T.normalise(F.col(text)).alias("norm"), F.trim(F.upper(text)).alias("raw"))
+
+
+def _equal_candidates(lines: DataFrame, products: DataFrame, aliases: DataFrame, fl: DataFrame, fp: DataFrame) -> DataFrame:
+    """Candidates of the rules before fingerprints: barcode, alias, name."""
+    ls = _plain(lines, "line_id", "description")
+    of = lambda df, text, kind: matching.by_equality(ls, _plain(df, "product_id", text).withColumn("score", F.lit(90.0)), kind)
+    return matching.by_barcode(fl, fp).unionByName(of(aliases, "text", "exact_alias")).unionByName(of(products, "name", "exact_name"))
+
+
+def _fingerprints(lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return matching.fingerprints(lines, "line_id", F.col("description")), matching.fingerprints(products, "product_id", F.col("name"))
+
+
+def _decided(lines: DataFrame, candidates: DataFrame) -> DataFrame:
+    return matching.decide(lines.select("line_id", T.normalise(F.col("description")).alias("norm"), "description", "line_total"), candidates)
+
+
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     lines, products, aliases = _catalogue(spark, d)
-    fl = matching.fingerprints(lines, "line_id", F.col("description"))
-    fp = matching.fingerprints(products, "product_id", F.col("name"))
-    plain = lambda df, key, text: df.select(key, T.normalise(F.col(text)).alias("norm"), F.trim(F.upper(text)).alias("raw"))
-    ls = plain(lines, "line_id", "description")
-    c = matching.by_barcode(fl, fp).unionByName(matching.by_equality(ls, plain(aliases, "product_id", "text").withColumn("score", F.lit(90.0)), "exact_alias"))
-    c = c.unionByName(matching.by_equality(ls, plain(products, "product_id", "name").withColumn("score", F.lit(90.0)), "exact_name")).unionByName(matching.by_fingerprint(fl, fp))
-    return matching.decide(lines.select("line_id", T.normalise(F.col("description")).alias("norm"), "description", "line_total"), c)
+    fl, fp = _fingerprints(lines, products)
+    return _decided(lines, _equal_candidates(lines, products, aliases, fl, fp).unionByName(matching.by_fingerprint(fl, fp)))
+
+
+def _prices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Days and unit prices of the catalogue's lines (some five times or a tenth of the list price), and what lineitem says was paid for a unit and when."""
+    key, cents = F.col("p_partkey"), F.floor(F.col("p_retailprice") * 100 + 0.5)
+    paid = F.when(key % 4 == 2, cents * 5).when(key % 4 == 3, F.floor(cents / 10)).otherwise(cents)
+    bought = A.read(spark, d, "part").select(key.alias("line_id"), F.date_add(F.lit("1995-06-01").cast("date"), (key * 37 % 1000).cast("int")).alias("day"), paid.cast("bigint").alias("cents"))
+    unit = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint")
+    return bought, A.read(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.to_date("l_shipdate").alias("day"), unit.alias("cents"))
+
+
+def product_match_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions with prices, beside the level without."""
+    lines, products, aliases = _catalogue(spark, d)
+    fl, fp = _fingerprints(lines, products)
+    bought, history = _prices(spark, d)
+    path = A.new_folder(spark, "match-prices")
+    matching.compared_with_prices(fl, fp, bought, history).write.parquet(path)  # both decisions read it
+    pairs, equal = spark.read.parquet(path), _equal_candidates(lines, products, aliases, fl, fp)
+    found = lambda score: pairs.where(F.col(score) >= matching.CANDIDATE).select("line_id", "product_id", F.col(score).alias("score"), F.lit("fingerprint").alias("kind"))
+    odd = pairs.where(F.col("anomaly") & (F.col("score") >= matching.CANDIDATE)).groupBy("line_id").agg(F.count("*").alias("anomalies"))
+    with_prices = _decided(lines, equal.unionByName(found("score"))).select("line_id", "product_id", "confidence", "match_type", "level", "conflict")
+    without = _decided(lines, equal.unionByName(found("score_before"))).select("line_id", F.col("level").alias("level_before"), F.col("confidence").alias("confidence_before"))
+    return with_prices.join(without, "line_id").join(odd, "line_id", "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+
+
+def price_history_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What each catalogue part had cost before the day of its own line."""
+    bought, history = _prices(spark, d)
+    asked = bought.select(F.col("line_id").alias("product_id"), "day", "cents")
+    found = asked.join(prices.as_of(asked, history), ["product_id", "day"])
+    ratio = prices.ratio(F.col("cents"), F.col("mean"))
+    return found.select("product_id", "day", "n", "mean", "low", "high", ratio.alias("price_ratio"), prices.plausibility(ratio).alias("points"))
 
 
 def product_match_equality(spark: SparkSession, d: str) -> DataFrame:
     lines, products, _ = _catalogue(spark, d)
-    plain = lambda df, key, text: df.select(key, T.normalise(F.col(text)).alias("norm"), F.trim(F.upper(text)).alias("raw"))
-    return matching.by_equality(plain(lines, "line_id", "description"), plain(products, "product_id", "name").withColumn("score", F.lit(90.0)), "exact_name")
+    return matching.by_equality(_plain(lines, "line_id", "description"), _plain(products, "product_id", "name").withColumn("score", F.lit(90.0)), "exact_name")
 
 
 def product_match_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     lines, products, _ = _catalogue(spark, d)
-    return matching.by_fingerprint(matching.fingerprints(lines, "line_id", F.col("description")), matching.fingerprints(products, "product_id", F.col("name"))).select("line_id", "product_id", "score")
+    return matching.by_fingerprint(*_fingerprints(lines, products)).select("line_id", "product_id", "score")
 
 
 def product_match_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -161,24 +207,36 @@ _SCORED = f"""{_LINES},
 fl AS (SELECT line_id, n, {_TOKENS.format('n')} AS tok, {_TRI.format('n')} AS tri, {_UNIT.format('n')} AS u FROM (SELECT line_id, {_NORM.format('description')} AS n FROM ls)),
 fp AS (SELECT product_id, n, {_TOKENS.format('n')} AS tok, {_TRI.format('n')} AS tri, {_UNIT.format('n')} AS u FROM (SELECT product_id, {_NORM.format('name')} AS n FROM ps)),
 pr AS (SELECT line_id, product_id, fl.n = fp.n AS same, fl.u AS u1, fp.u AS u2, len(list_intersect(fl.tok, fp.tok)) AS ti, len(fl.tok) AS t1, len(fp.tok) AS t2, len(list_intersect(fl.tri, fp.tri)) AS gi, len(fl.tri) AS g1, len(fp.tri) AS g2 FROM fl, fp),
-sc AS (SELECT line_id, product_id, least(100.0, greatest(0.0, CASE WHEN same THEN 75.0 ELSE floor((CASE WHEN t1 + t2 - ti > 0 THEN ti / (t1 + t2 - ti) ELSE 0.0 END * 40.0 + gi / (g1 + g2 - gi) * 35.0) * 1.0 + 0.5) / 1.0 END + CASE WHEN u1 = u2 THEN 10 ELSE 0 END)) AS score FROM pr WHERE gi > 0),
+pt AS (SELECT line_id, product_id, CASE WHEN same THEN 75.0
+  ELSE floor((CASE WHEN t1 + t2 - ti > 0 THEN ti / (t1 + t2 - ti) ELSE 0.0 END * 40.0 + gi / (g1 + g2 - gi) * 35.0) * 1.0 + 0.5) / 1.0 END + CASE WHEN u1 = u2 THEN 10 ELSE 0 END AS points FROM pr WHERE gi > 0),
+sc AS (SELECT line_id, product_id, least(100.0, greatest(0.0, points)) AS score FROM pt),
 fc AS (SELECT * FROM sc WHERE score >= 35)"""
-_DECIDED = f"""{_SCORED},
-eq AS (SELECT DISTINCT line_id, product_id, 90.0 AS score, 2 AS o FROM ls, ps WHERE {_NORM.format('description')} = {_NORM.format('name')} OR trim(upper(description)) = trim(upper(name))),
-ea AS (SELECT DISTINCT line_id, product_id, 90.0 AS score, 1 AS o FROM ls, al WHERE {_NORM.format('description')} = {_NORM.format('text')} OR trim(upper(description)) = trim(upper(text))),
-ca AS (SELECT line_id, product_id, max(score) AS score, min(o) AS o FROM (SELECT * FROM eq UNION ALL SELECT * FROM ea UNION ALL SELECT line_id, product_id, score, 3 FROM fc) GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, product_id) AS k, lead(score) OVER (PARTITION BY line_id ORDER BY score DESC, product_id) AS second FROM ca),
-de AS (SELECT l.line_id, r.product_id, r.score, r.o, r.second, l.description, l.line_total, {_NORM.format('l.description')} AS n FROM ls l LEFT JOIN rk r ON r.line_id = l.line_id AND r.k = 1),
-dd AS (SELECT *, coalesce(score >= 50, FALSE) AS hit, CASE WHEN coalesce(score >= 50 AND score - second <= 10, FALSE) THEN 'ambiguous_products' WHEN length(regexp_replace(n, '[^A-Z0-9]', '', 'g')) < 3 THEN 'short_description' END AS conflict FROM de),
-fin AS (SELECT line_id, CASE WHEN hit THEN product_id END AS product_id, coalesce(score, 0.0) AS confidence, CASE WHEN hit THEN ['exact_alias', 'exact_name', 'fingerprint'][o] ELSE 'none' END AS match_type,
+_HISTORY = """bought AS (SELECT p_partkey AS line_id, CAST(DATE '1995-06-01' + CAST(p_partkey * 37 % 1000 AS INT) AS DATE) AS day,
+  CAST(CASE p_partkey % 4 WHEN 2 THEN c * 5 WHEN 3 THEN floor(c / 10) ELSE c END AS BIGINT) AS cents FROM (SELECT *, floor(p_retailprice * 100 + 0.5) AS c FROM part)),
+hist AS (SELECT l_partkey AS product_id, CAST(l_shipdate AS DATE) AS day, CAST(floor(l_extendedprice * 100 / l_quantity + 0.5) AS BIGINT) AS cents FROM lineitem)"""
+_POINTS = "CASE WHEN {0} BETWEEN 0.7 AND 1.4 THEN 5 WHEN {0} > 3.0 OR {0} < 0.2 THEN -25 ELSE 0 END"
+_EQUAL = f"""eq AS (SELECT DISTINCT line_id, product_id, 90.0 AS score, 2 AS o FROM ls, ps WHERE {_NORM.format('description')} = {_NORM.format('name')} OR trim(upper(description)) = trim(upper(name))),
+ea AS (SELECT DISTINCT line_id, product_id, 90.0 AS score, 1 AS o FROM ls, al WHERE {_NORM.format('description')} = {_NORM.format('text')} OR trim(upper(description)) = trim(upper(text)))"""
+
+
+def _decisions(found: str, name: str = "") -> str:
+    """CTEs from the candidates `found` to the decisions fin; all names end in `name`."""
+    return f"""ca{name} AS (SELECT line_id, product_id, max(score) AS score, min(o) AS o FROM (SELECT * FROM eq UNION ALL SELECT * FROM ea UNION ALL SELECT line_id, product_id, score, 3 FROM {found}) GROUP BY 1, 2),
+rk{name} AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, product_id) AS k, lead(score) OVER (PARTITION BY line_id ORDER BY score DESC, product_id) AS second FROM ca{name}),
+de{name} AS (SELECT l.line_id, r.product_id, r.score, r.o, r.second, l.description, l.line_total, {_NORM.format('l.description')} AS n FROM ls l LEFT JOIN rk{name} r ON r.line_id = l.line_id AND r.k = 1),
+dd{name} AS (SELECT *, coalesce(score >= 50, FALSE) AS hit, CASE WHEN coalesce(score >= 50 AND score - second <= 10, FALSE) THEN 'ambiguous_products' WHEN length(regexp_replace(n, '[^A-Z0-9]', '', 'g')) < 3 THEN 'short_description' END AS conflict FROM de{name}),
+fin{name} AS (SELECT line_id, CASE WHEN hit THEN product_id END AS product_id, coalesce(score, 0.0) AS confidence, CASE WHEN hit THEN ['exact_alias', 'exact_name', 'fingerprint'][o] ELSE 'none' END AS match_type,
   CASE WHEN NOT hit AND (line_total < 0 OR regexp_matches(description, '(?i)PROMO|SCONTO|RESO|BUONO|COUPON')) THEN 'unresolved' WHEN conflict IS NOT NULL THEN 'unresolved' WHEN hit AND o = 1 THEN 'exact' WHEN hit AND score >= 80 THEN 'high_confidence' WHEN hit THEN 'possible' ELSE 'new_product' END AS level,
-  conflict, NOT hit AND NOT (line_total < 0 OR regexp_matches(description, '(?i)PROMO|SCONTO|RESO|BUONO|COUPON')) AS proposes_product FROM dd)"""
+  conflict, NOT hit AND NOT (line_total < 0 OR regexp_matches(description, '(?i)PROMO|SCONTO|RESO|BUONO|COUPON')) AS proposes_product FROM dd{name})"""
+
+
+_DECIDED = f"{_SCORED},\n{_EQUAL},\n{_decisions('fc')}"
 
 QUERIES = {
     f.__name__: f
     for f in (
         receipt_lines_roundtrip, receipt_total_roundtrip, receipt_fields_roundtrip, receipt_consistency_flags, receipt_amount_fields, italian_number_parse, text_normalize_product, product_trigrams, extract_codes, vat_checksum, supplier_name_or_alias_match,
-        product_match_equality, product_match_fingerprint, product_match_decisions, classification_counters, alias_learning,
+        product_match_equality, product_match_fingerprint, product_match_decisions, product_match_prices, price_history_as_of, classification_counters, alias_learning,
     )
 }
 
@@ -203,6 +261,17 @@ SELECT id, name, s_suppkey AS supplier_id, CASE WHEN trim(name) = '' THEN 0 WHEN
     "product_match_equality": f"WITH {_LINES} SELECT DISTINCT line_id, product_id, 90.0::DOUBLE AS score, 'exact_name' AS kind FROM ls, ps WHERE {_NORM.format('description')} = {_NORM.format('name')} OR trim(upper(description)) = trim(upper(name))",
     "product_match_fingerprint": f"WITH {_SCORED} SELECT line_id, product_id, CAST(score AS DOUBLE) AS score FROM fc",
     "product_match_decisions": f"WITH {_DECIDED} SELECT line_id, product_id, CAST(confidence AS DOUBLE) AS confidence, match_type, level, conflict, proposes_product FROM fin",
+    "product_match_prices": f"""WITH {_SCORED}, {_HISTORY}, {_EQUAL},
+fa AS (SELECT line_id, product_id, points, b.cents / (SELECT CASE WHEN sum(h.cents) > 0 THEN sum(h.cents) / count(*) END FROM hist h WHERE h.product_id = pt.product_id AND h.day < b.day) AS ratio
+  FROM pt JOIN bought b USING (line_id) WHERE points >= 30),
+fb AS (SELECT *, {_POINTS.format("ratio")} AS extra FROM fa),
+fq AS (SELECT line_id, product_id, least(100.0, greatest(0.0, points + extra)) AS score, extra FROM fb WHERE least(100.0, greatest(0.0, points + extra)) >= 35),
+{_decisions("fq", "2")}, {_decisions("fc")}
+SELECT line_id, f.product_id, CAST(f.confidence AS DOUBLE) AS confidence, f.match_type, f.level, f.conflict, fin.level AS level_before, CAST(fin.confidence AS DOUBLE) AS confidence_before,
+  coalesce(n, 0) AS anomalies FROM fin2 f JOIN fin USING (line_id) LEFT JOIN (SELECT line_id, count(*) AS n FROM fq WHERE extra < 0 GROUP BY 1) USING (line_id)""",
+    "price_history_as_of": f"""WITH {_HISTORY}, a AS (SELECT line_id AS product_id, b.day, any_value(b.cents) AS c, count(h.cents) AS n, sum(h.cents) / nullif(count(h.cents), 0) AS mean,
+  min(h.cents) AS low, max(h.cents) AS high FROM bought b LEFT JOIN hist h ON h.product_id = b.line_id AND h.day < b.day GROUP BY 1, 2)
+SELECT product_id, day, n, mean, low, high, CASE WHEN mean > 0 THEN c / mean END AS price_ratio, {_POINTS.format("c / mean")} AS points FROM a""",
     "classification_counters": f"WITH {_DECIDED} SELECT count(*) FILTER (WHERE product_id IS NOT NULL AND conflict IS NULL) AS known, count(*) FILTER (WHERE proposes_product) AS new, count(*) FILTER (WHERE conflict IS NOT NULL) AS conflicts, count(*) FILTER (WHERE product_id IS NULL) AS unclassified FROM fin",
     "alias_learning": f"""WITH {_LINES}, c AS (SELECT line_id - line_id % 8 AS product_id, {_NORM.format('description')} AS normalized_text, min(description) AS original_text FROM ls GROUP BY 1, 2)
 SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.product_id = c.product_id AND {_NORM.format('al.text')} = c.normalized_text)""",
