@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.functions.money import js_round
 from tallyforge.operators import prices, similarity
+from tallyforge.sources.adapters import saved
 
 #: Least score of a candidate and of a match, and the gap under which two candidates are ambiguous.
 CANDIDATE, MATCH, GAP = 35, 50, 10
+PARTS = ["norm", "tokens", "trigrams", "brand", "barcode", "unit"]
+#: The rules in the order in which they count.
+KINDS = ["exact_barcode", "exact_alias", "exact_name", "fingerprint"]
 #: Words of lines that adjust a total and are no product.
 ADJUSTMENT = r"(?i)SCONTO|ABBUONO|PROMO|PROMOZIONE|COUPON|BUONO|ARROTONDAMENTO|RESO|STORNO|RESTITUITO"
 
@@ -28,8 +32,10 @@ def by_name_or_alias(names: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def fingerprints(df: DataFrame, key: str, text: Column, **given: Column) -> DataFrame:
     """key with the parts of a fingerprint of a text; given: parts that are known (brand, barcode, unit)."""
-    part = {"norm": T.normalise(text), "tokens": F.array_distinct(T.tokens(text)), "trigrams": T.trigrams(text), "brand": T.brand(text), "barcode": T.barcode(text), "unit": T.unit(text)}
-    return df.select(key, *[(F.coalesce(given[k], v) if k in given else v).alias(k) for k, v in part.items()])
+    norm = F.col("norm")
+    part = {"norm": norm, "tokens": F.array_distinct(T.tokens_of(norm)), "trigrams": T.trigrams_of(norm), "brand": T.brand_of(norm), "barcode": T.barcode(F.col("_text")), "unit": T.unit_of(norm)}
+    known = df.select(key, text.alias("_text"), T.normalise(text).alias("norm"), *[v.alias(f"_{k}") for k, v in given.items()])
+    return known.select(key, *[(F.coalesce(F.col(f"_{k}"), v) if k in given else v).alias(k) for k, v in part.items()])
 
 
 def total(exact: Column, tokens: Column, trigrams: Column, brands: tuple[Column, Column], units: tuple[Column, Column], same_supplier: Column) -> Column:
@@ -60,29 +66,55 @@ def _text_id() -> Column:
     return F.xxhash64("norm", "brand", "barcode", "unit", F.array_sort("tokens"), F.array_sort("trigrams"))
 
 
+def _texts(lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of lines and products with the id of their text, computed once."""
+    return tuple(saved(df.select(key, *PARTS, _text_id().alias("id")), "fingerprints") for df, key in ((lines, "line_id"), (products, "product_id")))
+
+
 def _compared(lines: DataFrame, products: DataFrame, same_supplier: bool, least: float) -> DataFrame:
-    """line_id, product_id, points and same_code of fingerprints (line_id / product_id and parts) with `least` points or the same barcode.
+    """a, b (ids of texts), points and same_code of texts with `least` points or the same barcode.
 
     Distinct texts are compared, however many lines have them; the pairs that can reach the points come from a join with thresholds, and each of them is scored in full.
     """
-    parts = ["norm", "tokens", "trigrams", "brand", "barcode", "unit"]
-    a, b = (df.select(*parts).distinct().withColumn("id", _text_id()) for df in (lines, products))
+    a, b = (df.select("id", *PARTS).dropDuplicates(["id"]) for df in (lines, products))
     met = similarity.candidates(a, b, least, same_supplier)
-    x, y = (df.select(F.col("id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in parts]) for df, k, p in ((a, "a", "x"), (b, "b", "y")))
+    x, y = (df.select(F.col("id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in PARTS]) for df, k, p in ((a, "a", "x"), (b, "b", "y")))
     pair = met.join(x, "a").join(y, "b")
     exact = (F.col("x_norm") == F.col("y_norm")) & (F.col("x_norm") != "")
     words, grams = T.jaccard(F.col("x_tokens"), F.col("y_tokens")), T.jaccard(F.col("x_trigrams"), F.col("y_trigrams"))
     points = total(exact, words, grams, (F.col("x_brand"), F.col("y_brand")), (F.col("x_unit"), F.col("y_unit")), F.lit(same_supplier))
     code = F.coalesce(F.col("x_barcode") == F.col("y_barcode"), F.lit(False))
-    kept = pair.select("a", "b", points.alias("points"), code.alias("same_code")).where(F.col("same_code") | (F.col("points") >= least))
-    of = lambda df, key, name: df.select(key, _text_id().alias(name))
-    return of(lines, "line_id", "a").join(kept, "a").join(of(products, "product_id", "b"), "b").select("line_id", "product_id", "points", "same_code")
+    return pair.select("a", "b", points.alias("points"), code.alias("same_code")).where(F.col("same_code") | (F.col("points") >= least))
+
+
+def _of_text(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.select(key, F.col("id").alias(name))
+
+
+def _scored(points: Column) -> Column:
+    return F.when(F.col("same_code"), 100.0).otherwise(within(points))
 
 
 def by_fingerprint(lines: DataFrame, products: DataFrame, same_supplier: bool = False, least: float = CANDIDATE) -> DataFrame:
-    """Candidates of fingerprints with a score of `least` at least; an equal barcode scores 100."""
-    found = _compared(lines, products, same_supplier, least)
-    return found.select("line_id", "product_id", F.when(F.col("same_code"), 100.0).otherwise(within(F.col("points"))).alias("score"), F.lit("fingerprint").alias("kind"))
+    """Candidates of fingerprints (line_id / product_id and parts) with a score of `least` at least; an equal barcode scores 100."""
+    lines, products = _texts(lines, products)
+    kept = _compared(lines, products, same_supplier, least).select("a", "b", _scored(F.col("points")).alias("score"))
+    found = _of_text(lines, "line_id", "a").join(kept, "a").join(_of_text(products, "product_id", "b"), "b")
+    return found.select("line_id", "product_id", "score", F.lit("fingerprint").alias("kind"))
+
+
+def best_by_fingerprint(lines: DataFrame, products: DataFrame, keep: int = 2, same_supplier: bool = False, least: float = CANDIDATE) -> DataFrame:
+    """The first `keep` candidates of each line in the order of decide(): by score, then product_id.
+
+    A decision looks at the two best candidates of a line, and what other rules add can only raise a product, so no others are needed. They are found among texts: of products with one text
+    the smallest ids can be among the first, and lines with one text have the same candidates.
+    """
+    lines, products = _texts(lines, products)
+    first = lambda df, key, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+    heads = first(_of_text(products, "product_id", "b"), "b", ["product_id"])
+    kept = _compared(lines, products, same_supplier, least).select("a", "b", _scored(F.col("points")).alias("score"))
+    top = first(kept.join(heads, "b").select("a", "product_id", "score"), "a", [F.desc("score"), "product_id"])
+    return _of_text(lines, "line_id", "a").join(top, "a").select("line_id", "product_id", "score", F.lit("fingerprint").alias("kind"))
 
 
 def compared_with_prices(lines: DataFrame, products: DataFrame, bought: DataFrame, history: DataFrame, same_supplier: bool = False, least: float = CANDIDATE) -> DataFrame:
@@ -90,14 +122,15 @@ def compared_with_prices(lines: DataFrame, products: DataFrame, bought: DataFram
 
     A price near the product's mean before the day of the line adds to the score, one far off takes from it. bought: line_id, day, cents (of a unit); history: product_id, day, cents.
     """
+    lines, products = _texts(lines, products)
     # a plausible price lifts what the texts alone don't reach
-    found = _compared(lines, products, same_supplier, least - prices.PLAUSIBLE_SCORE).join(bought.select("line_id", "day", "cents"), "line_id", "left")
+    kept = _compared(lines, products, same_supplier, least - prices.PLAUSIBLE_SCORE)
+    found = _of_text(lines, "line_id", "a").join(kept, "a").join(_of_text(products, "product_id", "b"), "b").join(bought.select("line_id", "day", "cents"), "line_id", "left")
     before = prices.as_of(found, history).select("product_id", "day", "mean")
     found = found.join(before, ["product_id", "day"], "left").withColumn("price_ratio", prices.ratio(F.col("cents"), F.col("mean")))
     extra = prices.plausibility(F.col("price_ratio"))
-    scored = lambda points: F.when(F.col("same_code"), 100.0).otherwise(within(points))
     found = found.select(
-        "line_id", "product_id", scored(F.col("points") + extra).alias("score"), scored(F.col("points")).alias("score_before"), "price_ratio",
+        "line_id", "product_id", _scored(F.col("points") + extra).alias("score"), _scored(F.col("points")).alias("score_before"), "price_ratio",
         (~F.col("same_code") & (extra == prices.ANOMALOUS_SCORE)).alias("anomaly"),
     )
     return found.where(F.greatest("score", "score_before") >= least)
@@ -109,8 +142,9 @@ def decide(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     candidates: (line_id, product_id, score, kind) of all rules; a product keeps the kind of the first rule that found it, in the order barcode, alias, name, fingerprint, and its
     highest score.
     """
-    order = F.when(F.col("kind") == "exact_barcode", 0).when(F.col("kind") == "exact_alias", 1).when(F.col("kind") == "exact_name", 2).otherwise(3)
-    by_product = candidates.groupBy("line_id", "product_id").agg(F.max("score").alias("score"), F.min_by("kind", order).alias("kind"))
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(len(KINDS)))  # a number, so the aggregation needs no sort
+    by_product = candidates.groupBy("line_id", "product_id").agg(F.max("score").alias("score"), F.min(order).alias("kind"))
+    by_product = by_product.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind").cast("int")))
     ranked = by_product.withColumn("n", F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("score"), "product_id"))).where("n <= 2")
     best = ranked.groupBy("line_id").agg(*[F.max(F.when(F.col("n") == 1, F.col(c))).alias(c) for c in ("product_id", "score", "kind")], F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"))
     rows = lines.join(best, "line_id", "left")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import js_round
+from tallyforge.sources.adapters import saved
 
 #: What equal words, trigrams, brands, units and suppliers are worth, and what different brands cost.
 WORDS, TRIGRAMS, SAME_TEXT, BRAND, OTHER_BRAND, UNIT, SUPPLIER = 40.0, 35.0, 75.0, 15, -20, 10, 10
@@ -136,7 +137,7 @@ def candidates(a: DataFrame, b: DataFrame, least: float, same_supplier: bool = F
     split = min(SPLIT if split is None else split, base / (2 * WORDS))
     parts = ["id", "tokens", "trigrams", "brand", "unit", "barcode"]
     texts = a.select(F.lit("a").alias("side"), *parts).unionByName(b.select(F.lit("b").alias("side"), *parts))
-    sets = _ranked(texts).join(texts.select("side", "id", "brand", "unit", "barcode"), ["side", "id"])
+    sets = saved(_ranked(texts).join(texts.select("side", "id", "brand", "unit", "barcode"), ["side", "id"]), "sets")
 
     def keyed(side: str) -> DataFrame:
         keys = F.array_distinct(F.concat(_word_keys(side, split), _gram_keys(least, same_supplier, split)))

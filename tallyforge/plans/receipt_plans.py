@@ -132,7 +132,7 @@ def _decided(lines: DataFrame, candidates: DataFrame) -> DataFrame:
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     lines, products, aliases = _catalogue(spark, d)
     fl, fp = _fingerprints(lines, products)
-    return _decided(lines, _equal_candidates(lines, products, aliases, fl, fp).unionByName(matching.by_fingerprint(fl, fp)))
+    return _decided(lines, _equal_candidates(lines, products, aliases, fl, fp).unionByName(matching.best_by_fingerprint(fl, fp)))
 
 
 def _prices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

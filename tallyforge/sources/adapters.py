@@ -31,6 +31,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written to a new shared folder and read from there: what follows computes it once, and a lost executor costs none of it."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "planned").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "cancelled").otherwise("draft")
