@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.functions.money import js_round
 from tallyforge.operators import prices, similarity
-from tallyforge.sources.adapters import saved
 
 #: Least score of a candidate and of a match, and the gap under which two candidates are ambiguous.
 CANDIDATE, MATCH, GAP = 35, 50, 10
@@ -31,7 +30,7 @@ def by_name_or_alias(names: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, key: str, text: Column, **given: Column) -> DataFrame:
-    """key with the parts of a fingerprint of a text; given: parts that are known (brand, barcode, unit)."""
+    """key with the parts of a fingerprint of a text; given: parts that are known (brand, barcode, unit). Matching reads them several times: save them."""
     norm = F.col("norm")
     part = {"norm": norm, "tokens": F.array_distinct(T.tokens_of(norm)), "trigrams": T.trigrams_of(norm), "brand": T.brand_of(norm), "barcode": T.barcode(F.col("_text")), "unit": T.unit_of(norm)}
     known = df.select(key, text.alias("_text"), T.normalise(text).alias("norm"), *[v.alias(f"_{k}") for k, v in given.items()])
@@ -67,8 +66,8 @@ def _text_id() -> Column:
 
 
 def _texts(lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of lines and products with the id of their text, computed once."""
-    return tuple(saved(df.select(key, *PARTS, _text_id().alias("id")), "fingerprints") for df, key in ((lines, "line_id"), (products, "product_id")))
+    """Fingerprints of lines and products with the id of their text."""
+    return tuple(df.select(key, *PARTS, _text_id().alias("id")) for df, key in ((lines, "line_id"), (products, "product_id")))
 
 
 def _compared(lines: DataFrame, products: DataFrame, same_supplier: bool, least: float) -> DataFrame:

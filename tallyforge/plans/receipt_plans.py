@@ -122,7 +122,9 @@ def _equal_candidates(lines: DataFrame, products: DataFrame, aliases: DataFrame,
 
 
 def _fingerprints(lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return matching.fingerprints(lines, "line_id", F.col("description")), matching.fingerprints(products, "product_id", F.col("name"))
+    """Fingerprints of both, computed once."""
+    fl, fp = matching.fingerprints(lines, "line_id", F.col("description")), matching.fingerprints(products, "product_id", F.col("name"))
+    return A.saved(fl, "lines"), A.saved(fp, "products")
 
 
 def _decided(lines: DataFrame, candidates: DataFrame) -> DataFrame:
