@@ -1,16 +1,16 @@
 """Record-store operations on whole tables: upserts, reconciliation, cascades and constraints.
 
-Parquet has no transactions, so a change is computed as the new state of a table; `publish` writes several tables to one staged folder and swaps it in by a marker file, which is
-what makes a change of many tables all or nothing.
+Parquet has no transactions, so a change is computed as the new state of a table; `publish` writes several tables to staged folders and names them in the next manifest of the store
+(versions.py), which is what makes a change of many tables all or nothing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators import versions
+
 
 def last_write(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert by natural key: of all rows of a key the last in `order` stays. max_by needs one shuffle with partial aggregation, where row_number() would sort every group."""
@@ -84,29 +84,11 @@ def defaulted(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return spark.range(1).select(F.lit(True).alias("_on")).join(df.withColumn("_on", F.lit(True)), "_on", "left").select(*[F.coalesce(F.col(c), d).alias(c) if c in df.columns else d.alias(c) for c, d in defaults.items()])
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables under a new folder of root, then name it in root/CURRENT. Readers that go by CURRENT see all of the change or nothing.
-
-    CURRENT is replaced by one rename that overwrites, so it exists at every moment; a crash before it leaves the state as it was.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    version = f"{root}/v-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{version}/{name}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    new, current = path(f"{root}/CURRENT-{uuid.uuid4().hex}"), path(f"{root}/CURRENT")
-    out = fs.create(new)
-    out.write(bytearray(version.encode()))
-    out.close()
-    options = jvm.org.apache.hadoop.fs.Options
-    rename = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
-    rename[0] = getattr(options, "Rename").OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(current), rename)
-    return version
+def publish(tables: dict[str, DataFrame], root: str) -> int:
+    """Replace these tables of a store by one new version; other tables stay as the latest version has them. Returns the version."""
+    return versions.transact(next(iter(tables.values())).sparkSession, root, lambda _: tables)
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first().value
-    return spark.read.parquet(f"{version}/{name}")
+    """A table of the latest version."""
+    return versions.snapshot(spark, root).read(name)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.money import MONEY, js_round
-from tallyforge.operators import closing, reconcile, registration, store
+from tallyforge.operators import audit, closing, reconcile, registration, store, versions
 from tallyforge.sources import adapters as A
 from tallyforge.sources import backup
 
@@ -194,6 +195,42 @@ def backup_checksum(spark: SparkSession, d: str) -> DataFrame:
     return backup.row_checksums(A.read(spark, d, "nation").unionByName(A.read(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"))))
 
 
+#: The driver's tables by the column that numbers their rows.
+TABLES = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
+
+
+def restore_all_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Back up every table, clear a store that holds something else and restore it; what the store then has."""
+    path, root = A.new_folder(spark, "backup"), A.new_folder(spark, "store")
+    backup.write({t: A.read(spark, d, t) for t in TABLES}, path, "hash")
+    store.publish({"region": A.read(spark, d, "nation"), "scraps": A.read(spark, d, "region")}, root)
+    version = backup.restore(spark, path, root)
+    now = versions.snapshot(spark, root)
+    parts = [now.read(t).agg(F.lit(t).alias("table"), F.lit(version).alias("version"), F.count("*").alias("rows"), F.sum(F.col(TABLES[t]).cast("long")).alias("keys")) for t in now.names()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _audit_entries(spark: SparkSession, d: str) -> DataFrame:
+    e = A.read(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity"), F.col("event_type").alias("action"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("props").alias("payload"))
+
+
+def audit_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """A chained log of all events in two batches (the second one written twice), some entries of which are then removed or rewritten: the first broken link of each user."""
+    entries, root = _audit_entries(spark, d), A.new_folder(spark, "audit")
+    middle = entries.agg(F.expr("percentile_disc(0.5) within group (order by at)").alias("m")).first().m
+    late = entries.where(F.col("at") > middle) if middle is not None else entries.limit(0)
+    audit.append(entries.where(F.col("at") <= middle) if middle is not None else entries, 0, root)
+    for _ in range(2):
+        audit.append(late, 1, root)
+    log = audit.log(spark, root)
+    kept = log.where("id % 331 <> 7").withColumn("payload", F.when(F.col("id") % 173 == 5, F.lit("{}")).otherwise(F.col("payload")))
+    return audit.breaks(kept, audit.heads(log))
+
+
 def backup_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Write a backup to the shared folder, verify it and read a table back."""
     path = A.new_folder(spark, "backup")
@@ -224,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, expense_categories, file_hash_dedup, active_session_by_hash,
-        document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
+        restore_all_tables, audit_chain_breaks, document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
     )
 }
 
@@ -272,5 +309,12 @@ SELECT id, outcome, CASE WHEN outcome = 'applied' THEN rs WHEN has THEN 'new' EN
 h AS (SELECT value, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(value, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda s, c: ((s * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS n FROM t)
 SELECT value, lower(to_hex(abs(n))) AS checksum FROM h""",
     "exchange_envelopes": "SELECT r_name AS what, 'ok' AS reason FROM region UNION ALL SELECT '', unnest(['not an envelope', 'other format', 'newer version', 'no payload'])",
+    "restore_all_tables": "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", 2 AS version, count(*) AS rows, CAST(sum({k}) AS BIGINT) AS keys FROM {t}" for t, k in TABLES.items()),
+    "audit_chain_breaks": """WITH n AS (SELECT event_id AS id, 'user-' || user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS seq,
+  count(*) OVER (PARTITION BY user_id) AS last, event_id % 331 = 7 AS gone, event_id % 173 = 5 AND props <> '{}' AS wrong FROM events),
+k AS (SELECT *, coalesce(lag(seq) OVER (PARTITION BY entity ORDER BY seq), 0) AS before FROM n WHERE NOT gone),
+b AS (SELECT entity, seq, CASE WHEN seq > before + 1 THEN 'missing' WHEN wrong THEN 'rewritten' END AS reason FROM k
+  UNION ALL SELECT entity, last, CASE WHEN coalesce(max(CASE WHEN NOT gone THEN seq END), 0) < last THEN 'cut' END FROM n GROUP BY entity, last)
+SELECT entity, min(seq) AS seq, arg_min(reason, seq) AS reason FROM b WHERE reason IS NOT NULL GROUP BY entity""",
     "backup_roundtrip": "SELECT 'region' AS table, count(*) AS rows, TRUE AS ok FROM region UNION ALL SELECT 'nation', count(*), TRUE FROM nation UNION ALL SELECT 'supplier', count(*), TRUE FROM supplier UNION ALL SELECT 'nation read back', 0, TRUE",
 }
