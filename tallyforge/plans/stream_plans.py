@@ -15,13 +15,14 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_daily_totals(spark: SparkSession, d: str) -> DataFrame:
-    totals = live.run(live.daily_totals(_source(spark, d)), new_folder(spark, "stream"), "complete")
-    return totals.select("day", "event_type", "n", F.col("total").cast("double"))
+    root, totals = new_folder(spark, "stream"), live.daily_totals(_source(spark, d))
+    live.upserted(totals, root, ["day", "event_type"], "day")
+    return live.latest(spark, root, live.ddl(totals), "day").select("day", "event_type", "n", F.col("total").cast("double"))
 
 
 def stream_dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
     keyed = _source(spark, d).withColumn("key", F.concat_ws("_", "user_id", "event_type"))
-    return live.run(live.once(keyed, ["key"], "60 days").select("key"), new_folder(spark, "stream"), "append")
+    return live.run(live.once(keyed, ["key"], "60 days").select("key"), new_folder(spark, "stream"))
 
 
 def stream_late_recompute(spark: SparkSession, d: str) -> DataFrame:

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tallyforge.functions.money import MONEY
+from tallyforge.operators.versions import Files
 
 
 def events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -35,8 +36,8 @@ def once(stream: DataFrame, keys: list[str], delay: str = "2 days") -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run(df: DataFrame, root: str, mode: str) -> DataFrame:
-    """All that is there now, then stop; the result is a table under root. In mode append each micro-batch adds its rows, in mode complete it replaces the table.
+def run(df: DataFrame, root: str) -> DataFrame:
+    """Append all that is there now, then stop; the result is a table under root.
 
     A micro-batch has a folder of its own, so one that runs again after a failure replaces what it wrote.
     """
@@ -44,15 +45,59 @@ def run(df: DataFrame, root: str, mode: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
-    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    _finish(df.writeStream.foreachBatch(write).outputMode("append"), root)
+    return df.sparkSession.read.schema(f"{ddl(df)}, batch long").parquet(f"{root}/rows").drop("batch")
+
+
+def _finish(writer: DataStreamWriter, root: str) -> StreamingQuery:
+    query = writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = df.sparkSession.read.schema(f"{_ddl(df)}, batch long").parquet(f"{root}/rows")
-    if mode == "complete":
-        rows = rows.join(rows.agg(F.max("batch").alias("batch")), "batch")  # one row
-    return rows.drop("batch")
+    return query
+
 
+def upserted(df: DataFrame, root: str, keys: list[str], partition: str) -> StreamingQuery:
+    """Keep a table of the latest row of each key: output mode update, so a micro-batch brings the keys that changed and the watermark lets go of the state of the others.
 
-def _ddl(df: DataFrame) -> str:
+    Only the partitions of changed keys are merged. A partition has a folder for each micro-batch that touched it, holding all of its rows; the latest is the table (`latest`). A micro-batch
+    that runs again starts from the folders before its number, so it replaces what it wrote. `vacuum` deletes folders that later ones replaced.
+    """
+    schema, rest = ddl(df), [c for c in df.columns if c not in keys]
+    rows = f"{root}/rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        touched = batch.select(F.col(partition).alias("_touched")).distinct()
+        before = latest(spark, root, schema, partition, number).join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
+        both = before.select(*df.columns).withColumn("_n", F.lit(0)).unionByName(batch.select(*df.columns).withColumn("_n", F.lit(1)))
+        same = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_n").alias("_row")).select(*keys, "_row.*")
+        same.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "batch").parquet(rows)
+
+    return _finish(df.writeStream.foreachBatch(write).outputMode("update"), root)
+
+
+def latest(spark: SparkSession, root: str, schema: str, partition: str, below: int | None = None) -> DataFrame:
+    """The table that upserted() keeps, or as it was before a micro-batch."""
+    if not Files(spark, root).names(f"{root}/rows"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch long").parquet(f"{root}/rows")
+    rows = rows if below is None else rows.where(F.col("batch") < below)
+    last = rows.groupBy(F.col(partition).alias("_p")).agg(F.max("batch").alias("_b"))  # of partition columns alone
+    return rows.join(last, F.col(partition).eqNullSafe(F.col("_p")) & (F.col("batch") == F.col("_b"))).select(*[f.name for f in rows.schema if f.name != "batch"])
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the latest `keep` folders of each partition, and tell how many went. One micro-batch may run again, so two stay."""
+    files, gone = Files(spark, root), 0
+    for part in files.names(f"{root}/rows"):
+        if "=" in part:
+            folders = sorted((n for n in files.names(f"{root}/rows/{part}") if n.startswith("batch=")), key=lambda n: int(n[6:]))
+            for old in folders[:-keep]:
+                files.delete(f"{root}/rows/{part}/{old}")
+                gone += 1
+    return gone
+
+
+def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
