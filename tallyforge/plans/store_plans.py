@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.money import MONEY, js_round
-from tallyforge.operators import audit, closing, reconcile, registration, store, versions
+from tallyforge.operators import audit, closing, confirmation, reconcile, registration, store, versions
+from tallyforge.plans.receipt_plans import _NORM
 from tallyforge.sources import adapters as A
 from tallyforge.sources import backup
 
@@ -231,6 +232,56 @@ def audit_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
     return audit.breaks(kept, audit.heads(log))
 
 
+def _receipts_to_confirm(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """A store with the parts whose key is a multiple of 8 as products, and a decision for each line of an order; every seventh order is confirmed already."""
+    part = A.read(spark, d, "part").select("p_partkey", F.upper("p_name").alias("p_name"))
+    products = part.where("p_partkey % 8 = 0").groupBy(T.catalogue_name(F.col("p_name")).alias("normalized_name")).agg(F.min("p_partkey").alias("k"), F.min_by("p_name", "p_partkey").alias("display_name"))
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    products = products.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("id"), "display_name", "normalized_name", text("brand"), text("barcode"), text("unit"), text("category_id"))
+    aliases = products.where("id like '%4'").select(F.col("id").alias("product_id"), F.col("display_name").alias("original_text"), T.normalise(F.col("display_name")).alias("normalized_text"), text("supplier_id"))
+    s = A.suppliers(spark, d).select(F.col("id").cast("string").alias("id"), "name", "aliases")
+    o = A.read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    n = F.col("o_orderkey")
+    processes = o.select(n.cast("string").alias("id"), text("supplier_id"), (n % 7 == 0).alias("confirmed"))
+    supplier = F.when(n % 3 == 0, F.concat(F.lit(" supplier#"), F.lpad((F.col("o_custkey") % 20).cast("string"), 9, "0"))).when(n % 3 == 1, F.concat(F.lit("Bottega "), (F.col("o_custkey") % 9).cast("string"), F.lit(" ")))
+    requests = o.select(n.cast("string").alias("process_id"), text("supplier_id"), supplier.alias("supplier_name"))
+    li = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    k = F.col("l_linenumber")
+    name = F.concat("p_name", F.when(k % 2 == 0, " ART.").otherwise(""))
+    action = F.when(k % 3 == 0, confirmation.LINK).when(k % 3 == 1, confirmation.CREATE).otherwise("skip")
+    decisions = li.select(
+        F.col("l_orderkey").cast("string").alias("process_id"), k.cast("int").alias("position"), text("line_id"), action.alias("action"),
+        F.when(k % 3 == 0, F.concat(F.lit("p"), (F.col("l_partkey") - F.col("l_partkey") % 8).cast("string"))).alias("product_id"), name.alias("description"), text("original_text"), text("category_id"),
+        F.col("l_extendedprice").cast(MONEY).alias("line_total"),
+    )
+    lines = spark.createDataFrame([], f"id string, process_id string, description string, original_text string, line_total {MONEY}, product_id string, review_status string")
+    audit_ = spark.createDataFrame([], "entity_id string, action string, lines bigint, products bigint")
+    return {"products": products, "aliases": aliases, "suppliers": s, "lines": lines, "processes": processes, "audit": audit_}, requests, decisions
+
+
+def confirmed_products(spark: SparkSession, d: str) -> DataFrame:
+    """All receipts confirmed in a store, twice: each product with its aliases and lines."""
+    tables, requests, decisions = _receipts_to_confirm(spark, d)
+    root, deleted = A.new_folder(spark, "store"), spark.createDataFrame([], "process_id string, line_id string")
+    store.publish(tables, root)
+    for _ in range(2):
+        confirmation.confirmed(spark, root, requests, decisions, deleted)
+    now = versions.snapshot(spark, root)
+    # lines that were linked to a product the store lacks count under its id
+    a = now.read("aliases").groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n_aliases"))
+    n = now.read("lines").where("product_id is not null").groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n_lines"))
+    p = now.read("products").select("id", "display_name", "normalized_name")
+    return p.join(a, "id", "full").join(n, "id", "full").select("id", "display_name", "normalized_name", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+def confirmed_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts of each supplier after confirmation, and whether the supplier is new."""
+    tables, requests, decisions = _receipts_to_confirm(spark, d)
+    after = confirmation.confirm(tables, requests, decisions, spark.createDataFrame([], "process_id string, line_id string"))
+    n = after["processes"].where("supplier_id is not null").groupBy(F.col("supplier_id").alias("id")).agg(F.count("*").alias("n"))
+    return after["suppliers"].join(n, "id").select("id", "name", F.col("id").startswith("sup-").alias("is_new"), "n")
+
+
 def backup_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Write a backup to the shared folder, verify it and read a table back."""
     path = A.new_folder(spark, "backup")
@@ -261,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, expense_categories, file_hash_dedup, active_session_by_hash,
-        restore_all_tables, audit_chain_breaks, document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
+        restore_all_tables, audit_chain_breaks, confirmed_products, confirmed_suppliers, document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
     )
 }
 
@@ -309,6 +360,21 @@ SELECT id, outcome, CASE WHEN outcome = 'applied' THEN rs WHEN has THEN 'new' EN
 h AS (SELECT value, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(value, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda s, c: ((s * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS n FROM t)
 SELECT value, lower(to_hex(abs(n))) AS checksum FROM h""",
     "exchange_envelopes": "SELECT r_name AS what, 'ok' AS reason FROM region UNION ALL SELECT '', unnest(['not an envelope', 'other format', 'newer version', 'no payload'])",
+    "confirmed_products": f"""WITH np AS (SELECT p_partkey AS k, upper(p_name) AS t, {_NORM.format('p_name')} AS norm FROM part),
+e AS (SELECT 'p' || min(k) AS id, arg_min(t, k) AS display_name, norm AS name FROM np WHERE k % 8 = 0 GROUP BY norm),
+d AS (SELECT CAST(l_orderkey AS VARCHAR) AS p, l_linenumber AS pos, t || CASE WHEN l_linenumber % 2 = 0 THEN ' ART.' ELSE '' END AS raw, norm AS name, norm || CASE WHEN l_linenumber % 2 = 0 THEN ' ART' ELSE '' END AS norm,
+  l_linenumber % 3 AS a, l_partkey - l_partkey % 8 AS link FROM lineitem JOIN np ON k = l_partkey WHERE l_orderkey % 7 <> 0),
+f AS (SELECT d.*, CASE a WHEN 0 THEN 'p' || link WHEN 1 THEN coalesce(e.id, 'prod-' || substr(sha256(d.name), 1, 16)) END AS final FROM d LEFT JOIN e ON e.name = d.name),
+c AS (SELECT final AS id, arg_min(raw, {{'p': p, 'pos': pos}}) AS display_name, name FROM f WHERE a = 1 AND final LIKE 'prod-%' GROUP BY final, name),
+ps AS (SELECT * FROM e UNION ALL SELECT * FROM c),
+al AS (SELECT id, name AS norm FROM e WHERE id LIKE '%4' UNION SELECT final, norm FROM f WHERE final IS NOT NULL),
+an AS (SELECT id, count(*) AS n_aliases FROM al GROUP BY 1), ln AS (SELECT final AS id, count(*) AS n_lines FROM f WHERE final IS NOT NULL GROUP BY 1)
+SELECT id, display_name, name AS normalized_name, coalesce(n_aliases, 0) AS n_aliases, coalesce(n_lines, 0) AS n_lines FROM ps FULL JOIN an USING (id) FULL JOIN ln USING (id)""",
+    "confirmed_suppliers": """WITH r AS (SELECT o_orderkey AS o, CASE o_orderkey % 3 WHEN 0 THEN 'Supplier#' || lpad(CAST(o_custkey % 20 AS VARCHAR), 9, '0') WHEN 1 THEN 'Bottega ' || o_custkey % 9 END AS name
+  FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 2),
+m AS (SELECT CASE WHEN s_suppkey IS NULL THEN 'sup-' || substr(sha256(lower(name)), 1, 16) ELSE CAST(s_suppkey AS VARCHAR) END AS id, coalesce(s_name, CASE WHEN name LIKE 'Supp%' THEN lower(name) ELSE name END) AS name,
+  s_suppkey IS NULL AS is_new FROM r LEFT JOIN supplier ON lower(s_name) = lower(name))
+SELECT id, name, is_new, count(*) AS n FROM m GROUP BY ALL""",
     "restore_all_tables": "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", 2 AS version, count(*) AS rows, CAST(sum({k}) AS BIGINT) AS keys FROM {t}" for t, k in TABLES.items()),
     "audit_chain_breaks": """WITH n AS (SELECT event_id AS id, 'user-' || user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS seq,
   count(*) OVER (PARTITION BY user_id) AS last, event_id % 331 = 7 AS gone, event_id % 173 = 5 AND props <> '{}' AS wrong FROM events),
