@@ -5,7 +5,7 @@ A month's report is a stored row; closing rewrites it from the facts. Late facts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.calendar import closing_date
@@ -38,6 +38,24 @@ def run_check(reports: DataFrame, summary: DataFrame, now: str) -> DataFrame:
     return close(reopen(reports, now), summary, now)
 
 
+def state_intervals(history: DataFrame) -> DataFrame:
+    """history (ym, at, status) as intervals (ym, since, until, status); until is null for the state that holds now. Of several states at one instant the greatest status counts, so that
+    there is one. A month has few states, however many facts it has."""
+    one = history.where("ym is not null and at is not null").groupBy("ym", "at").agg(F.max("status").alias("status"))
+    return one.select("ym", F.col("at").alias("since"), F.lead("at").over(Window.partitionBy("ym").orderBy("at")).alias("until"), "status")
+
+
+def as_of(facts: DataFrame, history: DataFrame, at: str = "at") -> DataFrame:
+    """facts (ym, at, ...) with `month_status`, the state of their month when they arrived (provisional before its first one), `month_since` and `late`, whether it was final.
+
+    An equi-join on the month with the interval as a condition: facts meet the few states of their month, not each other, so a month with a third of all facts can be split.
+    """
+    s = state_intervals(history).withColumnRenamed("ym", "_ym")
+    inside = (F.col("ym") == F.col("_ym")) & (F.col(at) >= F.col("since")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
+    status = F.coalesce("status", F.lit("provisional"))
+    return facts.join(s, inside, "left").select(*[facts[c] for c in facts.columns], status.alias("month_status"), F.col("since").alias("month_since"), (status == "final").alias("late"))
+
+
 def register_late(expenses: DataFrame, incoming: DataFrame, reports: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, audit) of incoming receipts (process_id, amount, expense_date, ...): those without a date, without a positive amount or already booked by process_id don't
     pass. The audit says which months were closed already."""

@@ -32,12 +32,6 @@ def gate(documents: DataFrame, lines: DataFrame) -> DataFrame:
     return j.select("document_id", "total", "line_sum", gap.cast(MONEY).alias("gap"), F.coalesce(~blocked, F.lit(True)).alias("passes"))
 
 
-def resolve_category(documents: DataFrame, lines: DataFrame, fallback: str) -> DataFrame:
-    """The category of each document: the one asked for, the supplier's, that of the first line with one, else the fallback."""
-    first = lines.where("category_id is not null").groupBy("document_id").agg(F.min_by("category_id", "line_index").alias("line_category"))
-    return documents.join(first, "document_id", "left").select("document_id", F.coalesce("category_id", "supplier_category", "line_category", F.lit(fallback)).alias("category_id"))
-
-
 def resolve_with_codes(documents: DataFrame, lines: DataFrame, categories: DataFrame) -> DataFrame:
     """document_id, category_id, subcategory_id: the pair asked for, the supplier's, that of the first line with a category, else the stand-in category, found by its code.
 
@@ -57,16 +51,29 @@ def resolve_with_codes(documents: DataFrame, lines: DataFrame, categories: DataF
     return picked.select("document_id", "category_id", F.coalesce("s", "child", "category_id").alias("subcategory_id"))
 
 
-def register(documents: DataFrame, lines: DataFrame, expenses: DataFrame, fallback: str) -> dict[str, DataFrame]:
-    """New rows of every table the registration touches: expense, items, audit. Documents that are booked already or don't pass the gate have none."""
+def register(documents: DataFrame, lines: DataFrame, expenses: DataFrame, categories: DataFrame) -> dict[str, DataFrame]:
+    """New rows of every table the registration touches: expenses, items, links, audit. Documents that are booked already or don't pass the gate have none.
+
+    The category and subcategory come from resolve_with_codes (which says what documents, lines and categories hold). An item has its line's pair if the line has a category, else the expense's;
+    a link ties each line to its item and expense.
+    """
     requests = documents.select(F.col("document_id").alias("request_id"), "expense_id", "process_id", "session_id", "attachment_id")
     booked = already_booked(requests, expenses).select(F.col("request_id").alias("document_id"))
     passed = gate(documents, lines).where("passes")
     todo = documents.join(booked, "document_id", "left_anti").join(passed.select("document_id", "line_sum"), "document_id")
-    todo = todo.join(resolve_category(documents, lines, fallback).withColumnRenamed("category_id", "resolved"), "document_id")
+    resolved = resolve_with_codes(documents, lines, categories).select("document_id", F.col("category_id").alias("resolved"), F.col("subcategory_id").alias("resolved_sub"))
+    todo = todo.join(resolved, "document_id")
     amount = F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("line_sum"))
-    expense = todo.select(F.concat(F.lit("exp-"), F.col("document_id").cast("string")).alias("id"), "document_id", amount.alias("amount"), "date", F.year("date").alias("year"), F.month("date").alias("month"), F.col("resolved").alias("category_id"), "process_id", "session_id", "attachment_id")
-    items = lines.join(expense.select("document_id", F.col("id").alias("expense_id"), F.col("category_id").alias("expense_category")), "document_id")
-    items = items.select(F.concat_ws("-", "expense_id", F.col("line_index").cast("string")).alias("id"), "expense_id", "line_index", "line_total", F.coalesce("category_id", "expense_category").alias("category_id"))
+    expense = todo.select(
+        F.concat(F.lit("exp-"), F.col("document_id").cast("string")).alias("id"), "document_id", amount.alias("amount"), "date", F.year("date").alias("year"), F.month("date").alias("month"),
+        F.col("resolved").alias("category_id"), F.col("resolved_sub").alias("subcategory_id"), "process_id", "session_id", "attachment_id",
+    )
+    own = F.col("category_id").isNotNull()
+    booked_as = expense.select("document_id", F.col("id").alias("expense_id"), F.col("category_id").alias("_category"), F.col("subcategory_id").alias("_subcategory"))
+    items = lines.join(booked_as, "document_id").select(
+        F.concat_ws("-", "expense_id", F.col("line_index").cast("string")).alias("id"), "expense_id", "document_id", "line_index", "line_total", F.coalesce("category_id", "_category").alias("category_id"),
+        F.when(own, F.col("subcategory_id")).otherwise(F.col("_subcategory")).alias("subcategory_id"),
+    )
+    links = items.select("document_id", "line_index", F.col("id").alias("item_id"), "expense_id")
     audit = expense.select(F.col("id").alias("entity_id"), F.lit("create").alias("action"), F.create_map(F.lit("amount"), F.col("amount").cast("string")).alias("new_values"))
-    return {"expenses": expense, "items": items, "audit": audit}
+    return {"expenses": expense, "items": items.drop("document_id"), "links": links, "audit": audit}

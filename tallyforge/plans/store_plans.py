@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
@@ -77,13 +77,20 @@ def segment_reindex(spark: SparkSession, d: str) -> DataFrame:
     return store.reindex(s, "session", ["doc_id"], "sequence_index")
 
 
+def _region(number: Column) -> Column:
+    return F.concat(F.lit("r"), (number % 5).cast("string"))
+
+
+def _coded_categories(spark: SparkSession, d: str) -> DataFrame:
+    return A.categories(spark, d).select("id", "parent_id", F.when(F.col("name") == "EUROPE", F.lit("CAT_MISC")).alias("code"), F.length("name").alias("sort_order"))
+
+
 def expense_categories(spark: SparkSession, d: str) -> DataFrame:
-    region = lambda number: F.concat(F.lit("r"), (F.col(number) % 5).cast("string"))
+    region = lambda number: _region(F.col(number))
     n, part = F.col("o_orderkey"), F.col("l_partkey")
     docs = A.read(spark, d, "orders").select(n.alias("document_id"), F.when(n % 3 == 0, region("o_custkey")).alias("category_id"), F.when(n % 4 == 0, F.lit("asked")).alias("subcategory_id"), F.when(n % 7 == 0, region("o_orderkey")).alias("supplier_category"), F.lit(None).cast("string").alias("supplier_subcategory"))
     lines = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_index"), F.when(part % 2 == 0, region("l_suppkey")).alias("category_id"), F.when(part % 4 == 0, F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))).alias("subcategory_id"))
-    cats = A.categories(spark, d).select("id", "parent_id", F.when(F.col("name") == "EUROPE", F.lit("CAT_MISC")).alias("code"), F.length("name").alias("sort_order"))
-    return registration.resolve_with_codes(docs, lines, cats)
+    return registration.resolve_with_codes(docs, lines, _coded_categories(spark, d))
 
 
 def segment_reorder(spark: SparkSession, d: str) -> DataFrame:
@@ -157,11 +164,17 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     o = A.read(spark, d, "orders")
     n = F.col("o_orderkey")
     docs = o.select(
-        n.alias("document_id"), F.when(n % 4 == 0, F.lit(0)).otherwise(F.col("o_totalprice")).cast(MONEY).alias("total"), (n % 5 == 0).alias("approved"), F.to_date("o_orderdate").alias("date"), F.when(n % 3 == 0, "cat-asked").alias("category_id"), F.when(n % 7 == 0, "cat-supplier").alias("supplier_category"),
+        n.alias("document_id"), F.when(n % 4 == 0, F.lit(0)).otherwise(F.col("o_totalprice")).cast(MONEY).alias("total"), (n % 5 == 0).alias("approved"), F.to_date("o_orderdate").alias("date"),
+        F.when(n % 3 == 0, _region(F.col("o_custkey"))).alias("category_id"), F.when(n % 4 == 0, F.lit("asked")).alias("subcategory_id"),
+        F.when(n % 7 == 0, _region(n)).alias("supplier_category"), F.lit(None).cast("string").alias("supplier_subcategory"),
         F.when(n % 50 == 1, F.concat(F.lit("e"), n.cast("string"))).alias("expense_id"), F.concat(F.lit("p"), n.cast("string")).alias("process_id"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("attachment_id"),
     )
     lines = A.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").cast(MONEY).alias("line_total"))
-    lines = lines.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_index"), "line_total", F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cat-line-"), F.col("l_linenumber").cast("string"))).alias("category_id"))
+    i = F.col("l_linenumber")
+    lines = lines.select(
+        F.col("l_orderkey").alias("document_id"), i.alias("line_index"), "line_total", F.when(i % 2 == 0, _region(i)).alias("category_id"),
+        F.when(i % 4 == 0, F.concat(F.lit("line"), i.cast("string"))).alias("subcategory_id"),
+    )
     booked = o.where("o_orderkey % 9 = 0").select(F.concat(F.lit("x"), n.cast("string")).alias("id"), F.concat(F.lit("p"), n.cast("string")).alias("process_id"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("attachment_id"))
     booked = booked.unionByName(o.where("o_orderkey % 100 = 1").select(F.concat(F.lit("e"), n.cast("string")).alias("id"), *[F.lit(None).cast("string").alias(c) for c in ("process_id", "session_id", "attachment_id")]))
     return docs, lines, booked
@@ -172,14 +185,34 @@ def discrepancy_gate(spark: SparkSession, d: str) -> DataFrame:
     return registration.gate(docs, lines).select("document_id", F.col("line_sum").cast("double"), F.col("gap").cast("double"), "passes")
 
 
-def accounting_registration(spark: SparkSession, d: str) -> DataFrame:
+def _registered(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs, lines, booked = _documents(spark, d)
-    return registration.register(docs, lines, booked, "cat-other")["expenses"].select("id", "document_id", F.col("amount").cast("double"), "year", "month", "category_id")
+    return registration.register(docs, lines, booked, _coded_categories(spark, d))
+
+
+def accounting_registration(spark: SparkSession, d: str) -> DataFrame:
+    return _registered(spark, d)["expenses"].select("id", "document_id", F.col("amount").cast("double"), "year", "month", "category_id", "subcategory_id")
 
 
 def registered_items(spark: SparkSession, d: str) -> DataFrame:
-    docs, lines, booked = _documents(spark, d)
-    return registration.register(docs, lines, booked, "cat-other")["items"].groupBy("category_id").agg(F.count("*").alias("n"), F.sum("line_total").cast("double").alias("total"))
+    return _registered(spark, d)["items"].groupBy("category_id", "subcategory_id").agg(F.count("*").alias("n"), F.sum("line_total").cast("double").alias("total"))
+
+
+def registered_links(spark: SparkSession, d: str) -> DataFrame:
+    return _registered(spark, d)["links"]
+
+
+def closing_state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Orders arrive up to 119 days late; months become final when the next one begins, and some are opened again for ten days. What each arrival finds, by month and state."""
+    o = A.read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    ym = F.year("day") * 12 + F.month("day") - 1
+    facts = o.select(ym.alias("ym"), F.date_add("day", (F.col("o_orderkey") % 120).cast("int")).alias("at"))
+    months = facts.select("ym").distinct().withColumn("end", F.make_date((F.floor(F.col("ym") / 12)).cast("int"), (F.col("ym") % 12 + 1).cast("int"), F.lit(1)))
+    months = months.withColumn("end", F.add_months("end", 1))
+    state = lambda days, status: F.struct(F.date_add("end", days).alias("at"), F.lit(status).alias("status"))
+    states = F.when(F.col("ym") % 5 == 0, F.array(state(0, "final"), state(20, "provisional"), state(30, "final"))).otherwise(F.array(state(0, "final")))
+    history = months.select("ym", F.explode(states).alias("s")).select("ym", "s.*")
+    return closing.as_of(facts, history).groupBy("ym", "month_status", "month_since", "late").agg(F.count("*").alias("n"))
 
 
 def audit_by_entity(spark: SparkSession, d: str) -> DataFrame:
@@ -302,17 +335,25 @@ def exchange_envelopes(spark: SparkSession, d: str) -> DataFrame:
 
 _REPORTS = """r AS (SELECT CAST((id - 1) // 12 AS INT) AS year, CAST((id - 1) % 12 + 1 AS INT) AS month, id % 3 = 0 AS fin FROM (SELECT unnest(range(23970, 23988)) AS id)),
 s AS (SELECT *, make_date(year, month, 1) + INTERVAL 1 MONTH <= TIMESTAMP '1998-07-01 00:00:00' AS due FROM r)"""
-_DOCS = """d AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, o_orderkey % 5 = 0 AS approved, o_orderdate FROM orders),
-l AS (SELECT l_orderkey AS n, l_linenumber AS i, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS t FROM lineitem GROUP BY 1, 2),
-g AS (SELECT d.*, coalesce(s.t, 0) AS line_sum, abs(coalesce(s.t, 0) - total) AS gap, NOT (total > 0 AND coalesce(s.t, 0) > 0 AND abs(coalesce(s.t, 0) - total) > 0.01 AND NOT approved) AS passes FROM d LEFT JOIN (SELECT n, sum(t) AS t FROM l GROUP BY n) s USING (n)),
-x AS (SELECT g.*, CASE WHEN total > 0 THEN total ELSE line_sum END AS amount, CASE WHEN n % 3 = 0 THEN 'cat-asked' WHEN n % 7 = 0 THEN 'cat-supplier' ELSE coalesce('cat-line-' || (SELECT min(i) FROM l WHERE l.n = g.n AND i % 2 = 0), 'cat-other') END AS category_id
-  FROM g WHERE passes AND n % 9 <> 0 AND n % 100 <> 1)"""
+_DOCS = """d AS (SELECT o_orderkey AS n, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, o_orderkey % 5 = 0 AS approved, o_orderdate FROM orders),
+l AS (SELECT l_orderkey AS n, l_linenumber AS i, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'r' || (l_linenumber % 5) END AS c,
+  CASE WHEN l_linenumber % 4 = 0 THEN 'line' || l_linenumber END AS s FROM lineitem GROUP BY 1, 2),
+g AS (SELECT d.*, coalesce(s.t, 0) AS line_sum, abs(coalesce(s.t, 0) - total) AS gap, NOT (total > 0 AND coalesce(s.t, 0) > 0 AND abs(coalesce(s.t, 0) - total) > 0.01 AND NOT approved) AS passes
+  FROM d LEFT JOIN (SELECT n, sum(t) AS t FROM l GROUP BY n) s USING (n)),
+cat AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation),
+stand AS (SELECT id AS stand_in FROM cat ORDER BY name <> 'EUROPE', length(name), id LIMIT 1),
+sub AS (SELECT parent, first(id ORDER BY length(name), id) AS child FROM cat WHERE parent IS NOT NULL GROUP BY 1),
+fl AS (SELECT n, arg_min(c, i) AS fc, arg_min({'s': s}, i).s AS fs FROM l WHERE c IS NOT NULL GROUP BY n),
+y AS (SELECT g.*, CASE WHEN total > 0 THEN total ELSE line_sum END AS amount, CASE WHEN n % 3 = 0 THEN 'r' || (o_custkey % 5) WHEN n % 7 = 0 THEN 'r' || (n % 5) ELSE coalesce(fc, stand_in) END AS category_id,
+  CASE WHEN n % 3 <> 0 AND n % 7 = 0 THEN NULL WHEN n % 3 <> 0 AND fc IS NOT NULL THEN fs WHEN n % 4 = 0 THEN 'asked' END AS s
+  FROM g LEFT JOIN fl USING (n) CROSS JOIN stand WHERE passes AND n % 9 <> 0 AND n % 100 <> 1),
+x AS (SELECT y.*, coalesce(s, child, category_id) AS subcategory_id FROM y LEFT JOIN sub ON parent = category_id)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         last_write_wins_upsert, patch_versions, set_reconcile, cascade_delete, set_null_delete, delete_unconfirmed, constraint_violations, max3_enforced, first_match, default_settings, segment_reindex, segment_reorder, expense_categories, file_hash_dedup, active_session_by_hash,
-        restore_all_tables, audit_chain_breaks, confirmed_products, confirmed_suppliers, document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
+        restore_all_tables, audit_chain_breaks, confirmed_products, confirmed_suppliers, document_assembly, close_expired_months, reopen_premature, late_registration_recompute, contact_reconcile, discrepancy_gate, accounting_registration, registered_items, registered_links, closing_state_as_of, audit_by_entity, json_metadata_lookup, backup_checksum, backup_roundtrip, exchange_envelopes,
     )
 }
 
@@ -352,8 +393,16 @@ o AS (SELECT *, CASE WHEN NOT has THEN 'missing_local_record' WHEN rs = 'new' TH
 SELECT id, outcome, CASE WHEN outcome = 'applied' THEN rs WHEN has THEN 'new' END AS status, CASE WHEN has AND id % 6 <> 0 THEN c_name END AS linked,
   CASE WHEN outcome IN ('applied', 'equivalent') THEN 'synced' WHEN outcome = 'conflict' THEN 'conflict' END AS sync_status, CASE WHEN outcome = 'applied' THEN ru WHEN has THEN lu END AS updated_at FROM o""",
     "discrepancy_gate": f"WITH {_DOCS} SELECT n AS document_id, CAST(line_sum AS DOUBLE) AS line_sum, CAST(gap AS DOUBLE) AS gap, passes FROM g",
-    "accounting_registration": f"WITH {_DOCS} SELECT 'exp-' || n AS id, n AS document_id, CAST(amount AS DOUBLE) AS amount, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, category_id FROM x",
-    "registered_items": f"WITH {_DOCS} SELECT CASE WHEN i % 2 = 0 THEN 'cat-line-' || i ELSE category_id END AS category_id, count(*) AS n, CAST(sum(t) AS DOUBLE) AS total FROM l JOIN x USING (n) GROUP BY 1",
+    "accounting_registration": f"""WITH {_DOCS} SELECT 'exp-' || n AS id, n AS document_id, CAST(amount AS DOUBLE) AS amount, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month,
+  category_id, subcategory_id FROM x""",
+    "registered_items": f"""WITH {_DOCS} SELECT coalesce(c, category_id) AS category_id, CASE WHEN c IS NULL THEN subcategory_id ELSE l.s END AS subcategory_id, count(*) AS n,
+  CAST(sum(t) AS DOUBLE) AS total FROM l JOIN x USING (n) GROUP BY 1, 2""",
+    "registered_links": f"WITH {_DOCS} SELECT n AS document_id, i AS line_index, 'exp-' || n || '-' || i AS item_id, 'exp-' || n AS expense_id FROM l JOIN x USING (n)",
+    "closing_state_as_of": """WITH f AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS ym, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INT) AS t FROM orders),
+m AS (SELECT DISTINCT ym, make_date(ym // 12, ym % 12 + 1, 1) + INTERVAL 1 MONTH AS e FROM f),
+h AS (SELECT ym, e AS t, 'final' AS status FROM m UNION ALL SELECT ym, e + INTERVAL 20 DAY, 'provisional' FROM m WHERE ym % 5 = 0 UNION ALL SELECT ym, e + INTERVAL 30 DAY, 'final' FROM m WHERE ym % 5 = 0),
+j AS (SELECT f.ym, h.status, h.t AS since FROM f LEFT JOIN LATERAL (SELECT status, t FROM h WHERE h.ym = f.ym AND h.t <= f.t ORDER BY t DESC LIMIT 1) h ON TRUE)
+SELECT CAST(ym AS INT) AS ym, coalesce(status, 'provisional') AS month_status, CAST(since AS DATE) AS month_since, coalesce(status, 'provisional') = 'final' AS late, count(*) AS n FROM j GROUP BY ALL""",
     "audit_by_entity": "SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE user_id = 7 AND event_type = 'error'",
     "json_metadata_lookup": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "backup_checksum": """WITH t AS (SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation UNION ALL SELECT '{"n_nationkey":' || r_regionkey || ',"n_name":"' || r_name || '","n_regionkey":null}' FROM region),
