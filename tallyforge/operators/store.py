@@ -84,6 +84,12 @@ def defaulted(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return spark.range(1).select(F.lit(True).alias("_on")).join(df.withColumn("_on", F.lit(True)), "_on", "left").select(*[F.coalesce(F.col(c), d).alias(c) if c in df.columns else d.alias(c) for c, d in defaults.items()])
 
 
+def defaulted_each(owners: DataFrame, stored: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
+    """The settings of each owner: the stored row (one for each key), a default for each field that it lacks or leaves empty."""
+    s = stored.select(key, *[F.col(c).alias(f"_{c}") for c in defaults if c in stored.columns])
+    return owners.select(key).join(s, key, "left").select(key, *[F.coalesce(f"_{c}", d).alias(c) if c in stored.columns else d.alias(c) for c, d in defaults.items()])
+
+
 def publish(tables: dict[str, DataFrame], root: str) -> int:
     """Replace these tables of a store by one new version; other tables stay as the latest version has them. Returns the version."""
     return versions.transact(next(iter(tables.values())).sparkSession, root, lambda _: tables)

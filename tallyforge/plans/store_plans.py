@@ -68,8 +68,11 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def default_settings(spark: SparkSession, d: str) -> DataFrame:
-    none = A.read(spark, d, "region").where("r_regionkey < 0").select(F.col("r_name").alias("currency"))
-    return store.defaulted(none, {"currency": F.lit("EUR"), "first_day": F.lit(1)})
+    """Settings of each customer: some have stored both fields, some one, most none."""
+    c = A.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
+    currency = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("C"), F.col("c_nationkey").cast("string")))
+    stored = c.where("c_mktsegment = 'BUILDING'").select("id", currency.alias("currency"), (F.col("c_nationkey") % 7).cast("int").alias("first_day"))
+    return store.defaulted_each(c.select("id"), stored, "id", {"currency": F.lit("EUR"), "first_day": F.lit(1)})
 
 
 def segment_reindex(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +372,8 @@ SELECT id, CASE WHEN c_name IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' W
     "constraint_violations": "SELECT upper(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "max3_enforced": "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k > 3",
     "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1",
-    "default_settings": "SELECT 'EUR' AS currency, 1 AS first_day",
+    "default_settings": """SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0 THEN 'C' || c_nationkey ELSE 'EUR' END AS currency,
+  CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey % 7 ELSE 1 END AS INT) AS first_day FROM customer""",
     "segment_reindex": "SELECT doc_id, source AS session, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS sequence_index FROM documents",
     "expense_categories": """WITH c AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation),
 k AS (SELECT id AS stand_in FROM c ORDER BY name <> 'EUROPE', length(name), id LIMIT 1), s AS (SELECT parent, first(id ORDER BY length(name), id) AS child FROM c WHERE parent IS NOT NULL GROUP BY 1),
