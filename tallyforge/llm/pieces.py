@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Distinct words a task remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 500_000
+#: Words of more letters are relaxed with a heap, and not remembered.
+LONG_WORD = 200
+#: Letters and words that are indexed at once (a longer word comes alone).
+LETTERS, WORDS = 400_000, 30_000
 _NONE = np.int64(1) << 40
 
 
@@ -114,12 +119,45 @@ def occurrences(text: np.ndarray, order: np.ndarray, v: Vocabulary) -> tuple[np.
     return position[by_place], piece[by_place]
 
 
+def _merged(begin: int, end: int, best: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one word: a heap gives the best edge, the leftmost of equal ones; each merge offers two new edges, so n letters take about n log n steps."""
+    n = end - begin
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next symbol begins, and the one before
+    pairs = best[begin : end - 1, 2]
+    some = np.flatnonzero(pairs != _NONE)
+    heap = list(zip(pairs[some].tolist(), some.tolist(), (some + 2).tolist(), strict=True))
+    heapify(heap)
+    while heap:
+        _, i, j = heappop(heap)
+        middle = right[i]
+        if middle <= i or middle >= n or right[middle] != j:
+            continue  # one of its symbols has been merged since
+        right[i], right[middle] = j, 0
+        if j < n:
+            left[j] = i
+        for a, b in ((left[i], j), (i, right[j] if j < n else 0)):
+            if a >= 0 and 0 < b - a <= longest:
+                cost = int(best[begin + a, b - a])
+                if cost != _NONE:
+                    heappush(heap, (cost, a, b))
+    at = np.asarray([i for i in range(n) if right[i] > i], np.int64)
+    return at + begin, np.append(at[1:], n) + begin
+
+
 def relax(n: int, ends: np.ndarray, position: np.ndarray, piece: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (start, end) left when no edge joins two of a word. n characters; ends: the end of the word of each character."""
     best = np.full((n, v.longest + 1), _NONE, np.int64)
     best[position, v.length[piece]] = v.order[piece]
     start = np.flatnonzero(ends > np.arange(n))  # separators are no symbols
     settled = []
+    # the rounds below make one merge in each word: a long word would take as many rounds as it has letters
+    begin = start[np.concatenate(([True], ends[start][1:] != ends[start][:-1]))] if len(start) else start
+    for b in begin[ends[begin] - begin > LONG_WORD].tolist():
+        settled.append(_merged(b, int(ends[b]), best, v.longest))
+    if settled:
+        last = np.zeros(n, np.int64)
+        last[begin] = ends[begin] - begin
+        start = start[last[begin][np.searchsorted(begin, start, side="right") - 1] <= LONG_WORD]
     while len(start):
         word = ends[start]
         after = np.append(start[1:], n)
@@ -177,9 +215,20 @@ class Encoder(dict):
         if fresh and len(self) > REMEMBERED:
             self.clear()
             fresh = list({w for words in split for w in words})
-        for a in range(0, len(fresh), 30_000):
-            self.update(zip(fresh[a : a + 30_000], encode_words(fresh[a : a + 30_000], self.v), strict=True))
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4") for words in split]
+        group, held = [], 0
+        for w in fresh:
+            if group and (held + len(w) > LETTERS or len(group) == WORDS):
+                self.update(zip(group, encode_words(group, self.v), strict=True))
+                group, held = [], 0
+            group.append(w)
+            held += len(w)
+        if group:
+            self.update(zip(group, encode_words(group, self.v), strict=True))
+        out = [np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4") for words in split]
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del self[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.v.out.__getitem__, ids.tolist()))

@@ -334,6 +334,26 @@ def test_toxicity_without_both_labels(spark):
 # pieces
 
 
+def test_long_words_equal_the_library_and_take_little_time():
+    import time
+
+    import sentencepiece
+    from public_tokenizers import path
+
+    rng = random.Random(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=path(pieces.MODEL))
+    encoder = pieces.Encoder()
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [made("abcdeth ing" if i % 3 else "aé漢😀z0=", n) for i, n in enumerate((1, 199, 200, 201, 202, 500, 3000, 20_000))] + ["a" * 5000, "ab" * 3000, "the" * 400 + " " + "0" * 700]
+    for t in texts:
+        assert encoder.encode([t, "short " + t])[0].tolist() == library.encode(t)
+    assert all(len(w) <= pieces.LONG_WORD for w in encoder)
+    long = made("abcdefghijklmnopqrstuvwxyz0123456789+/", 1_000_000)
+    began = time.time()
+    found = encoder.encode([long])[0]
+    assert time.time() - began < 60 and encoder.decode(found) == long and found.tolist() == library.encode(long)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
     from public_tokenizers import path
