@@ -55,7 +55,7 @@ def licence_lifecycle_offline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_licence_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    """The states of licence_lifecycle from a stream of the same responses, and whether their window is over by the wall clock."""
+    """The states of licence_lifecycle from a stream of the same responses."""
     orders = spark.readStream.schema(read(spark, d, "orders").schema).parquet(f"{d}/orders*.parquet")
     log = devices.follow(responses(orders), new_folder(spark, "stream"))
     return _flat(devices.current(log))

@@ -36,8 +36,8 @@ def once(stream: DataFrame, keys: list[str], delay: str = "2 days") -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run(df: DataFrame, root: str) -> DataFrame:
-    """Append all that is there now, then stop; the result is a table under root.
+def run(df: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Append all that is there now, then stop; the result is a table under root. With output mode update it is the log of rows that changed.
 
     A micro-batch has a folder of its own, so one that runs again after a failure replaces what it wrote.
     """
@@ -45,7 +45,7 @@ def run(df: DataFrame, root: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
-    _finish(df.writeStream.foreachBatch(write).outputMode("append"), root)
+    _finish(df.writeStream.foreachBatch(write).outputMode(mode), root)
     return df.sparkSession.read.schema(f"{ddl(df)}, batch long").parquet(f"{root}/rows").drop("batch")
 
 

@@ -73,11 +73,14 @@ def test_states_are_those_of_a_plain_fold_in_any_order(spark, tmp_path):
     for part in range(3):  # three micro-batches
         spark.createDataFrame(shuffled[part::3], DDL).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    log = devices.follow(source, f"{tmp_path}/out")
+    log = devices.follow(source, f"{tmp_path}/states")
+    assert held(devices.current(log)) == want
+    log = devices.notices(source, f"{tmp_path}/out")
     assert held(devices.current(log)) == want
     count = log.count()
     spark.createDataFrame(shuffled[:50], DDL).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # repeats change nothing and emit nothing
-    assert devices.follow(source, f"{tmp_path}/out").count() == count
+    assert held(devices.current(devices.follow(source, f"{tmp_path}/states"))) == want
+    assert devices.notices(source, f"{tmp_path}/out").count() == count
 
 
 def test_a_timer_tells_when_a_window_is_over(spark, tmp_path):
@@ -86,13 +89,13 @@ def test_a_timer_tells_when_a_window_is_over(spark, tmp_path):
     rows = [response("d", 1, "activate", "ACTIVATED", **signed(utc(soon))), response("e", 1, "activate", "ACTIVATED", **signed(utc(soon + dt.timedelta(days=9)))), response("f", 1, "activate", "ACTIVATED")]
     spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(DDL).parquet(f"{tmp_path}/in")
-    first = {r.device_id: r.over for r in devices.current(devices.follow(source, f"{tmp_path}/out")).collect()}
+    first = {r.device_id: r.over for r in devices.windows(devices.notices(source, f"{tmp_path}/out")).collect()}
     assert first == {"d": False, "e": False, "f": None}
     while dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) < soon + dt.timedelta(seconds=1):
         spark.range(1).count()
     spark.createDataFrame([response("g", 1, "validate", "VALID")], DDL).write.mode("append").parquet(f"{tmp_path}/in")  # a micro-batch fires timers
-    log = devices.follow(source, f"{tmp_path}/out")
-    assert {r.device_id: r.over for r in devices.current(log).collect()} == {"d": True, "e": False, "f": None}
+    log = devices.notices(source, f"{tmp_path}/out")
+    assert {r.device_id: r.over for r in devices.windows(log).collect()} == {"d": True, "e": False, "f": None}
     assert log.where("device_id = 'd'").count() == 2
 
 
