@@ -46,6 +46,30 @@ def snapshots(incomes: DataFrame, expenses: DataFrame, contributors: DataFrame,
     return months.join(people, "ym").crossJoin(plans).select("ym", "contributors", F.struct(*[F.coalesce(n, zero).alias(n) for n in CLASSES]).alias("classes"), "projects")
 
 
+#: The lines of a printed report, with the amount that each shows; `-` lines are the classes of expenses.
+PRINTED = [
+    ("Totale Entrate: € ", "total_income"), ("Spese Pagate: € ", "paid_expenses"), ("Spese Pianificate Notificate: € ", "notified_planned"), ("Quote Risparmi: € ", "plan_quota"), ("Quote Progetti: € ", "project_quota"),
+    ("Bilancio Prudenziale: € ", "prudential"), ("Extra Budget Iniziale: € ", "opening"), ("Extra Budget Utilizzato: € ", "used"), ("Extra Budget Finale: € ", "closing"), ("Deficit Non Coperto: € ", "deficit"),
+]
+PRINTED_CLASSES = [("- Necessarie: € ", "necessary"), ("- Volontarie: € ", "voluntary"), ("- Da Valutare: € ", "to_evaluate")]
+
+
+def printed(reports: DataFrame) -> DataFrame:
+    """The lines of each month's report: ym, line (from 1) and text. reports: ym, status, and amounts as PRINTED and PRINTED_CLASSES name them.
+
+    A missing amount of a class or of the month is 0; an extra budget that isn't given (null) has no lines, and a deficit has one only where it is above 0.
+    """
+    value = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("decimal(18,2)").cast("string")
+    shown = {"opening": F.col("opening").isNotNull(), "used": F.col("used").isNotNull(), "closing": F.col("closing").isNotNull(), "deficit": F.col("deficit") > 0}
+    line = lambda text, name: F.when(shown.get(name, F.lit(True)), F.concat(F.lit(text), value(name)))
+    head = [
+        F.lit("GESTIONE CASA"), F.concat(F.lit("Report Mensile Economico - "), _name(F.col("ym")), F.lit(" "), _year(F.col("ym"))),
+        F.concat(F.lit("Stato: "), F.when(F.col("status") == "final", "Definitivo").otherwise("Provvisorio")),
+    ]
+    lines = F.array(*head, *[line(*p) for p in PRINTED], F.lit("Classificazione Spese:"), *[line(*p) for p in PRINTED_CLASSES])
+    return reports.select("ym", F.posexplode(F.filter(lines, lambda text: text.isNotNull())).alias("_n", "text")).select("ym", (F.col("_n") + 1).alias("line"), "text")
+
+
 def closing_note(index: Column, single: Column, status: Column, now: str) -> tuple[Column, Column]:
     """Main and second line of the note on a month's closing."""
     due = index + 1
