@@ -81,3 +81,10 @@ def competence(date: Column, now: str) -> Column:
 def file_size(n: Column) -> Column:
     in_unit = lambda unit, name: F.concat(F.translate(F.format_number(n / unit, 1), ",", ""), F.lit(name))
     return F.when(F.coalesce(n, F.lit(0)) == 0, "0 B").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, in_unit(1024, " KB")).otherwise(in_unit(1024 * 1024, " MB"))
+
+
+def shown_date(text: Column) -> Column:
+    """`2024-03-05` as `05/03/2024`; text without three parts as it is, none as empty text."""
+    part = lambda i: F.coalesce(F.get(F.split(text, "-"), i), F.lit(""))
+    whole = (part(0) != "") & (part(1) != "") & (part(2) != "")
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(whole, F.concat_ws("/", part(2), part(1), part(0))).otherwise(text)

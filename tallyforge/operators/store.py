@@ -29,6 +29,17 @@ def patch(base: DataFrame, patches: DataFrame, key: str, version: str = "version
     return out.select(*columns)
 
 
+def mark(base: DataFrame, marks: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
+    """base with `column` set by the last mark of each key (marks: key, column, order); marks of other keys do nothing, see `unknown`. Marks are reduced in each task before they meet base."""
+    last = marks.groupBy(key).agg(F.max_by(F.struct(F.col(column).alias("_mark")), F.struct(*order)).alias("_last"))
+    return base.join(last, key, "left").withColumn(column, F.when(F.col("_last").isNotNull(), F.col("_last._mark")).otherwise(F.col(column))).select(*base.columns)
+
+
+def unknown(base: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """Keys of marks that base doesn't have."""
+    return marks.select(key).distinct().join(base, key, "left_anti")
+
+
 def set_reconcile(stored: DataFrame, wanted: DataFrame, key: str, compare: list[str]) -> DataFrame:
     """What a full replacement does to each key: insert, update, delete or keep."""
     s = stored.select(key, F.struct(*compare).alias("_s"))

@@ -1,11 +1,12 @@
-"""Registered queries of the licence lifecycle. Customers stand for devices and their orders for a server's responses."""
+"""Registered queries of the licence lifecycle, status markers and texts as shown. Customers stand for devices and their orders for a server's responses."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import lifecycle
+from tallyforge.functions import forms, money, text
+from tallyforge.operators import lifecycle, store
 from tallyforge.sources.adapters import new_folder, read
 from tallyforge.streaming import devices, live
 
@@ -61,7 +62,26 @@ def stream_licence_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return _flat(devices.current(log))
 
 
-QUERIES = {f.__name__: f for f in (licence_lifecycle, licence_lifecycle_offline, stream_licence_lifecycle)}
+def request_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that their lines mark as synced or in conflict, the last mark counting."""
+    requests = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("sync_status"))
+    value = F.when(F.col("l_returnflag") == "R", "conflict").otherwise("synced")
+    marks = read(spark, d, "lineitem").where("l_returnflag in ('A', 'R')").select(F.col("l_orderkey").alias("id"), value.alias("sync_status"), "l_shipdate", "l_linenumber")
+    return store.mark(requests, marks, "id", "sync_status", ["l_shipdate", "l_linenumber"])
+
+
+def shown_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Dates, amounts, licence codes and devices as the screens show them."""
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    date = F.when(n % 6 == 0, "").when(n % 6 == 1, F.substring(day, 1, 7)).when(n % 6 != 2, day)
+    code = F.when(n % 5 == 0, F.concat(F.lit("AB"), n.cast("string"))).when(n % 5 != 1, F.concat(F.lit(" LIC-2024-"), n.cast("string"), F.lit("-ZZ ")))
+    return read(spark, d, "orders").select(
+        n.alias("id"), forms.shown_date(date).alias("day"), money.italian_text(F.when(n % 4 == 0, -F.col("o_totalprice")).when(n % 4 == 1, F.col("o_totalprice") / 100).otherwise(F.col("o_totalprice")).cast(money.MONEY)).alias("amount"),
+        text.masked_code(code).alias("code"), text.masked_device(F.concat(F.lit("device-"), code)).alias("device"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (licence_lifecycle, licence_lifecycle_offline, stream_licence_lifecycle, request_markers, shown_texts)}
 
 
 def _word(words: list[str], index: str) -> str:
@@ -87,7 +107,17 @@ s AS (SELECT device, {_last("'LIC-' || n", 'act')} AS licence_code, {_last('dy',
   {_last('coalesce(CASE WHEN receipted THEN receipt_end END, CASE WHEN signed THEN signed_end END)', 'act OR val AND (receipted AND receipt_end IS NOT NULL OR signed AND signed_end IS NOT NULL)')} AS expires_on FROM e GROUP BY 1)"""
 _LIFECYCLE = f"""{_STATES} SELECT s.device AS device_id, licence_code, activated_on, s.status, deactivation, online_on, d.signed_end, c.till AS window_end, expires_on, doc IS NOT NULL AS has_document, rec IS NOT NULL AS has_receipt
 FROM s LEFT JOIN r AS d ON d.n = doc LEFT JOIN r AS c ON c.n = rec"""
+_CODE = "CASE WHEN o_orderkey % 5 = 0 THEN 'AB' || o_orderkey WHEN o_orderkey % 5 <> 1 THEN 'LIC-2024-' || o_orderkey || '-ZZ' END"
+_ROUND = "CAST(CASE o_orderkey % 4 WHEN 1 THEN o_totalprice / 100 ELSE o_totalprice END AS DECIMAL(18,2))"
 ORACLE_SQL = {
+    "request_markers": """WITH k AS (SELECT l_orderkey AS id, arg_max(CASE l_returnflag WHEN 'R' THEN 'conflict' ELSE 'synced' END, CAST(CAST(l_shipdate AS DATE) - DATE '1900-01-01' AS BIGINT) * 100 + l_linenumber) AS m
+  FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) SELECT o_orderkey AS id, coalesce(m, 'pending') AS sync_status FROM orders LEFT JOIN k ON id = o_orderkey""",
+    "shown_texts": f"""WITH o AS (SELECT o_orderkey AS n, CAST(o_orderdate AS DATE) AS d, {_ROUND} AS a, {_CODE} AS c FROM orders),
+p AS (SELECT *, CAST(floor(a) AS BIGINT) AS w, lpad(CAST(CAST((a - floor(a)) * 100 AS BIGINT) AS VARCHAR), 2, '0') AS f FROM o)
+SELECT n AS id, CASE WHEN n % 6 IN (0, 2) THEN '' WHEN n % 6 = 1 THEN strftime(d, '%Y-%m') ELSE strftime(d, '%d/%m/%Y') END AS day,
+  CASE WHEN n % 4 = 0 AND a <> 0 THEN '-' ELSE '' END || CASE WHEN w >= 10000 THEN replace(format('{{:,}}', w), ',', '.') ELSE CAST(w AS VARCHAR) END || ',' || f || ' €' AS amount,
+  CASE WHEN c IS NULL THEN '***' WHEN length(c) <= 8 THEN '****' ELSE left(c, 4) || '-****-****-' || right(c, 4) END AS code,
+  CASE WHEN c IS NULL THEN '***' WHEN n % 5 = 0 THEN CASE WHEN length(c) <= 5 THEN '****' ELSE 'device-A...' || right('device-' || c, 8) END ELSE 'device- ...' || right(c, 8) END AS device FROM p""",
     "licence_lifecycle": _LIFECYCLE,
     "stream_licence_lifecycle": _LIFECYCLE,
     "licence_lifecycle_offline": f"""{_STATES}, f AS (SELECT s.device, s.status, deactivation, doc, rec, online_on, c.dy AS seen, c.till, coalesce(c.receipt_end, d.signed_end, expires_on) AS ending FROM s LEFT JOIN r AS d ON d.n = doc LEFT JOIN r AS c ON c.n = rec),

@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import lifecycle
+from tallyforge.functions import forms, text
+from tallyforge.operators import lifecycle, store
 from tallyforge.streaming import devices
 
 DDL = (
@@ -116,3 +117,14 @@ def test_offline_checks_in_their_order(spark):
     found = lifecycle.offline(lifecycle.states(spark.createDataFrame(rows, DDL).withColumn("extra", F.lit(1))), "2024-01-20 00:00:00")
     assert {r.device_id: r.state for r in found.collect()} == {d: state for d, (_, _, state) in cases.items()}
     assert lifecycle.states(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_marks_and_shown_texts(spark):
+    base = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, None)], "id int, status string")
+    marks = spark.createDataFrame([(1, "synced", 1), (1, "conflict", 2), (3, "synced", 1), (9, "synced", 1), (2, None, 4)], "id int, status string, at int")
+    assert {tuple(r) for r in store.mark(base, marks, "id", "status", ["at"]).collect()} == {(1, "conflict"), (2, None), (3, "synced")}
+    assert [r.id for r in store.unknown(base, marks, "id").collect()] == [9]
+    rows = spark.createDataFrame([(None,), ("",), ("  ",), ("12345678",), (" 123456789 ",), ("2024-03-05",), ("2024--05",)], "t string")
+    shown = [tuple(r) for r in rows.select(text.masked_code(F.col("t")), text.masked_device(F.col("t")), forms.shown_date(F.col("t"))).collect()]
+    assert shown[:3] == [("***", "***", ""), ("***", "***", ""), ("****", "****", "  ")]
+    assert shown[3:] == [("****", "****", "12345678"), ("1234-****-****-6789", "****", " 123456789 "), ("2024-****-****-3-05", "****", "05/03/2024"), ("****", "****", "2024--05")]
