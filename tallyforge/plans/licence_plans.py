@@ -76,7 +76,7 @@ def shown_texts(spark: SparkSession, d: str) -> DataFrame:
     date = F.when(n % 6 == 0, "").when(n % 6 == 1, F.substring(day, 1, 7)).when(n % 6 != 2, day)
     code = F.when(n % 5 == 0, F.concat(F.lit("AB"), n.cast("string"))).when(n % 5 != 1, F.concat(F.lit(" LIC-2024-"), n.cast("string"), F.lit("-ZZ ")))
     return read(spark, d, "orders").select(
-        n.alias("id"), forms.shown_date(date).alias("day"), money.italian_text(F.when(n % 4 == 0, -F.col("o_totalprice")).when(n % 4 == 1, F.col("o_totalprice") / 100).otherwise(F.col("o_totalprice")).cast(money.MONEY)).alias("amount"),
+        n.alias("id"), forms.shown_date(date).alias("day"), money.italian_text(F.when(n % 4 == 0, -F.col("o_totalprice")).when(n % 4 == 1, (n % 900000) / 100).otherwise(F.col("o_totalprice")).cast(money.MONEY)).alias("amount"),
         text.masked_code(code).alias("code"), text.masked_device(F.concat(F.lit("device-"), code)).alias("device"),
     )
 
@@ -108,7 +108,7 @@ s AS (SELECT device, {_last("'LIC-' || n", 'act')} AS licence_code, {_last('dy',
 _LIFECYCLE = f"""{_STATES} SELECT s.device AS device_id, licence_code, activated_on, s.status, deactivation, online_on, d.signed_end, c.till AS window_end, expires_on, doc IS NOT NULL AS has_document, rec IS NOT NULL AS has_receipt
 FROM s LEFT JOIN r AS d ON d.n = doc LEFT JOIN r AS c ON c.n = rec"""
 _CODE = "CASE WHEN o_orderkey % 5 = 0 THEN 'AB' || o_orderkey WHEN o_orderkey % 5 <> 1 THEN 'LIC-2024-' || o_orderkey || '-ZZ' END"
-_ROUND = "CAST(CASE o_orderkey % 4 WHEN 1 THEN o_totalprice / 100 ELSE o_totalprice END AS DECIMAL(18,2))"
+_ROUND = "CAST(CASE o_orderkey % 4 WHEN 1 THEN o_orderkey % 900000 / 100.0 ELSE o_totalprice END AS DECIMAL(18,2))"
 ORACLE_SQL = {
     "request_markers": """WITH k AS (SELECT l_orderkey AS id, arg_max(CASE l_returnflag WHEN 'R' THEN 'conflict' ELSE 'synced' END, CAST(CAST(l_shipdate AS DATE) - DATE '1900-01-01' AS BIGINT) * 100 + l_linenumber) AS m
   FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) SELECT o_orderkey AS id, coalesce(m, 'pending') AS sync_status FROM orders LEFT JOIN k ON id = o_orderkey""",
