@@ -29,8 +29,13 @@ def patch(base: DataFrame, patches: DataFrame, key: str, version: str = "version
     return out.select(*columns)
 
 
-def mark(base: DataFrame, marks: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
-    """base with `column` set by the last mark of each key (marks: key, column, order); marks of other keys do nothing, see `unknown`. Marks are reduced in each task before they meet base."""
+def mark(base: DataFrame, marks: DataFrame, key: str, column: str, order: list[str], first: list[str] | None = None) -> DataFrame:
+    """base with `column` set by the last mark of each key (marks: key, column, order); marks of other keys do nothing, see `unknown`. Marks are reduced in each task before they meet base.
+
+    first: of marks that are equal in `order` the first by these columns counts; without them any does.
+    """
+    if first:
+        marks = marks.groupBy(key, *order).agg(F.min_by(F.struct(column), F.struct(*first)).alias("_r")).select(key, *order, f"_r.{column}")
     last = marks.groupBy(key).agg(F.max_by(F.struct(F.col(column).alias("_mark")), F.struct(*order)).alias("_last"))
     return base.join(last, key, "left").withColumn(column, F.when(F.col("_last").isNotNull(), F.col("_last._mark")).otherwise(F.col(column))).select(*base.columns)
 

@@ -128,3 +128,15 @@ def test_marks_and_shown_texts(spark):
     shown = [tuple(r) for r in rows.select(text.masked_code(F.col("t")), text.masked_device(F.col("t")), forms.shown_date(F.col("t"))).collect()]
     assert shown[:3] == [("***", "***", ""), ("***", "***", ""), ("****", "****", "  ")]
     assert shown[3:] == [("****", "****", "12345678"), ("1234-****-****-6789", "****", " 123456789 "), ("2024-****-****-3-05", "****", "05/03/2024"), ("****", "****", "2024--05")]
+
+
+def test_tied_marks_count_in_the_order_of_the_table(spark, tmp_path):
+    from tallyforge.plans import licence_plans
+
+    day = dt.datetime(1998, 1, 1)
+    n = 400
+    spark.createDataFrame([(i,) for i in range(n)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = [(i, 1, flag, day) for i in range(n) for flag in (("A", "R") if i % 2 else ("R", "A"))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.sync_status for r in licence_plans.request_markers(spark, str(tmp_path)).collect()}
+    assert got == {i: "synced" if i % 2 else "conflict" for i in range(n)}
