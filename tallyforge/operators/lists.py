@@ -48,9 +48,11 @@ def thumbnails(sessions: DataFrame, segments: DataFrame, attachments: DataFrame)
 
 def attachment_owners(attachments: DataFrame, expenses: DataFrame, suppliers: DataFrame) -> DataFrame:
     """attachments (attachment_id, expense_id) with description and supplier name of their expense, empty where there is none."""
-    e = expenses.select("expense_id", "description", "supplier_id")
     s = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
-    out = attachments.join(e, "expense_id", "left").join(s, "supplier_id", "left")
+    # expenses find their supplier before attachments meet them, and attachments without an expense don't join: equal nulls would all go to one task
+    e = expenses.select("expense_id", "description", "supplier_id").join(s, "supplier_id", "left").select("expense_id", "description", "supplier_name")
+    rows = attachments.select("attachment_id", "expense_id")
+    out = rows.where("expense_id is not null").join(e, "expense_id", "left").unionByName(rows.where("expense_id is null"), allowMissingColumns=True)
     return out.select("attachment_id", "expense_id", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("supplier_name", F.lit("")).alias("supplier_name"))
 
 

@@ -277,3 +277,23 @@ def test_stream_counts_a_late_fact(spark, tmp_path):
         facts = live.events(spark, src).select((F.year("ts") * 12 + F.month("ts")).alias("ym"), "value")
         live.late_months(facts, str(tmp_path / "facts"), count, str(tmp_path / "reports"), str(tmp_path / "cp"))
     assert {r.ym - 2026 * 12: r.n for r in spark.read.parquet(str(tmp_path / "reports")).collect()} == {3: 2, 4: 1}
+
+
+def test_attachments_without_an_expense_stay_in_their_tasks(spark):
+    from tallyforge.operators import lists
+
+    attachments = spark.range(0, 400, 1, 4).select(F.col("id").alias("attachment_id"), F.when(F.col("id") % 20 == 0, F.col("id")).alias("expense_id"))
+    expenses = spark.range(0, 400, 40).select(F.col("id").alias("expense_id"), F.lit("Spesa").alias("description"), F.when(F.col("id") > 0, F.lit(1)).alias("supplier_id"))
+    suppliers = spark.createDataFrame([(1, "Rossi")], "id int, name string")
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rows = lists.attachment_owners(attachments, expenses, suppliers).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    assert sorted((r.attachment_id, r.expense_id, r.description, r.supplier_name) for r in rows) == [
+        (i, i if i % 20 == 0 else None, "Spesa" if i % 40 == 0 else "", "Rossi" if i % 40 == 0 and i else "") for i in range(400)
+    ]
+    assert max(sum(r.task == t for r in rows) for t in {r.task for r in rows}) <= 110
