@@ -32,12 +32,12 @@ def merge(tables: dict[str, DataFrame], texts: DataFrame, number: int) -> dict[s
     Of several texts of a process the greatest counts; texts of unknown processes do nothing; a text without content marks its process as failed and leaves its lines.
     New lines have ids of process, batch and position, so no id comes twice, and are pending.
     """
-    known = tables["processes"].select(F.col("id").alias("process_id"))
+    known = tables["processes"].select(F.col("id").alias("process_id")).hint("merge")  # ids compress well and look small: none of these sides is ever broadcast
     texts = texts.groupBy("process_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).join(known, "process_id", "left_semi")
     empty = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
     done = parsed(texts.where(~empty))
     # what goes and what stays of the lines that are there
-    lines = tables["lines"].join(done.select("process_id", F.lit(True).alias("_again")), "process_id", "left")
+    lines = tables["lines"].join(done.select("process_id", F.lit(True).alias("_again")).hint("merge"), "process_id", "left")
     goes = F.coalesce("_again", F.lit(False)) & F.col("review_status").isin(*UNCONFIRMED)
     counts = lines.where("_again").groupBy("process_id").agg(F.count_if(goes).alias("replaced"), F.count_if(~goes).alias("kept"))
     new = done.select("process_id", F.posexplode("items").alias("position", "x"))
@@ -45,12 +45,12 @@ def merge(tables: dict[str, DataFrame], texts: DataFrame, number: int) -> dict[s
         F.concat_ws("-", "process_id", F.lit(str(number)), F.col("position").cast("string")).alias("id"), "process_id", "position", F.col("x.description").alias("description"),
         F.col("x.line_total").cast(tables["lines"].schema["line_total"].dataType).alias("line_total"), F.col("x.confidence").alias("confidence"), F.lit("pending").alias("review_status"),
     )
-    states = done.select("process_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), "supplier", "day", "total").join(counts, "process_id", "left")
+    states = done.select("process_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), "supplier", "day", "total").join(counts.hint("merge"), "process_id", "left")
     failed = texts.where(empty).select("process_id", F.lit("failed").alias("status"), F.lit(EMPTY).alias("error"))
     now = states.unionByName(failed, allowMissingColumns=True)
     changed = F.struct(*[F.col(c) for c in now.columns if c != "process_id"])
     old = tables["processes"]
-    p = old.join(now.select(F.col("process_id").alias("id"), changed.alias("_n")), "id", "left")
+    p = old.join(now.select(F.col("process_id").alias("id"), changed.alias("_n")).hint("merge"), "id", "left")
     fresh = F.col("_n.status") == "completed"
     columns = {c: F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)) for c in ("status", "error")}
     columns |= {c: F.when(fresh, F.col(f"_n.{c}").cast(old.schema[c].dataType)).otherwise(F.col(c)) for c in ("supplier", "day", "total")}

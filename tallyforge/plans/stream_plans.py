@@ -55,7 +55,7 @@ def stream_persist_parse(spark: SparkSession, d: str) -> DataFrame:
         parsing.stream(spark.readStream.schema("process_id string, text string").parquet(f"{root}/texts"), f"{root}/store", f"{root}/{checkpoint}")
     now = versions.snapshot(spark, f"{root}/store")
     lines = now.read("lines").groupBy(F.col("process_id").alias("id")).agg(F.count_if(F.col("description") == "old").alias("old_lines"), F.count_if(F.col("description") != "old").alias("new_lines"), F.sum("line_total").cast("double").alias("line_sum"))
-    shown = now.read("processes").select("id", "status", "error", "supplier", "total", "replaced", "kept").join(lines, "id", "left")
+    shown = now.read("processes").select("id", "status", "error", "supplier", "total", "replaced", "kept").join(lines.hint("merge"), "id", "left")
     return shown.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_lines", "new_lines")})
 
 

@@ -38,3 +38,13 @@ def test_merge(spark, tmp_path):
     assert state()[1] == sorted(made(1) + old("a", "confirmed", "edited") + rest) and state()[0]["a"] == ("completed", None, 2, 2)
     assert parsing.apply_batch(spark, root, one.limit(0), 2) == 4 and state()[1] == sorted(made(1) + old("a", "confirmed", "edited") + rest)
     assert versions.snapshot(spark, root).read("batches").orderBy("number").agg(F.collect_list("number")).first()[0] == [0, 1, 2]
+
+
+def test_merge_broadcasts_nothing(spark, tmp_path):
+    root, number = str(tmp_path / "store"), "number bigint"
+    store.publish({"processes": spark.createDataFrame([("a",) + (None,) * 7], PROCESSES), "lines": spark.createDataFrame([], LINES), "batches": spark.createDataFrame([], number)}, root)
+    spark.createDataFrame([("a", receipt(("LATTE FRESCO", "1,50")))], TEXTS).write.parquet(f"{tmp_path}/texts")
+    now = versions.snapshot(spark, root)
+    out = parsing.merge({t: now.read(t) for t in parsing.TABLES}, spark.read.parquet(f"{tmp_path}/texts"), 1)
+    for name in ("processes", "lines"):
+        assert "BroadcastExchange" not in out[name]._jdf.queryExecution().executedPlan().toString()
