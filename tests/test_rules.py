@@ -297,3 +297,14 @@ def test_attachments_without_an_expense_stay_in_their_tasks(spark):
         (i, i if i % 20 == 0 else None, "Spesa" if i % 40 == 0 else "", "Rossi" if i % 40 == 0 and i else "") for i in range(400)
     ]
     assert max(sum(r.task == t for r in rows) for t in {r.task for r in rows}) <= 110
+
+
+def test_candidates_of_a_field_are_made_once(spark):
+    df = spark.createDataFrame([("A",)], "text string").select(F.split("text", "\n").alias("lines"))
+    most = {receipts.supplier: 4, receipts.date: 6, receipts.payment: 16, receipts.total: 8, receipts.tax_number: 4, receipts.address: 10}
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        reads = {parser: df.select(parser().alias("x"))._jdf.queryExecution().analyzed().toString().count("lines#") for parser in most}
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [p.__name__ for p, n in reads.items() if n > most[p]] == []
