@@ -39,11 +39,11 @@ def _summary(values: DataFrame, digest: str) -> list[Column]:
 
 
 def write(tables: dict[str, DataFrame], path: str, digest: str = "text") -> None:
-    """Every table as a folder of JSON lines, and a header row for each: name, rows, sum of row checksums (order of rows doesn't matter), schema."""
+    """Every table as a folder of compressed JSON lines, and a header row for each: name, rows, sum of row checksums (order of rows doesn't matter), schema."""
     header = None
     for name, df in tables.items():
         rows = as_json(df)
-        rows.write.mode("overwrite").text(f"{path}/{name}")
+        rows.write.mode("overwrite").option("compression", "gzip").text(f"{path}/{name}")
         one = rows.agg(F.lit(name).alias("table"), *_summary(rows, digest)).withColumn("ddl", F.lit(", ".join(f"`{c}` {t}" for c, t in df.dtypes)))
         header = one if header is None else header.unionByName(one)
     header.withColumns({"format": F.lit(FORMAT), "digest": F.lit(digest)}).coalesce(1).write.mode("overwrite").json(f"{path}/_header_")

@@ -160,3 +160,16 @@ def test_one_ledger_is_spread_over_the_ranges(spark):
     assert len(sizes) == 8 and max(sizes) < 0.25 * 8000
     assert ledger.balances(rows, ["n"], [], 8).where("balance_after <> n + 1").count() == 0
     assert ledger.balances(rows.limit(0), ["n"], [], 8).collect() == []
+
+
+def test_a_backup_is_compressed(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tallyforge.sources import backup
+
+    rows = spark.range(20000).select("id", F.lit("the same text in every row").alias("text"))
+    backup.write({"t": rows}, str(tmp_path), "hash")
+    assert sum(os.path.getsize(f"{tmp_path}/t/{n}") for n in os.listdir(f"{tmp_path}/t")) < 20000 * 20
+    assert backup.verify(spark, str(tmp_path)).first().ok and backup.read(spark, str(tmp_path), "t", "id long, text string").exceptAll(rows).isEmpty()
