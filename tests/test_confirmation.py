@@ -103,3 +103,19 @@ def test_nothing_to_confirm(spark):
     got = confirmation.confirm(frames, spark.createDataFrame([("r1", None, "x")], REQUESTS), spark.createDataFrame([], DECISIONS), spark.createDataFrame([], DELETED))
     assert {t: df.count() for t, df in got.items()} == dict.fromkeys(KINDS, 0)
     assert all(got[t].columns == frames[t].columns for t in KINDS)
+
+
+def test_decisions_are_resolved_once(spark, tmp_path, monkeypatch):
+    frames = {t: spark.createDataFrame([], k) for t, k in KINDS.items()} | {"processes": spark.createDataFrame([("r1", None, None)], KINDS["processes"])}
+    args = (
+        spark.createDataFrame([("r1", None, "x"), ("r2", None, "y")], REQUESTS), spark.createDataFrame([("r1", 0, None, "create_new", None, "Pane", None, None, D(1))], DECISIONS),
+        spark.createDataFrame([], DELETED),
+    )
+    kept = []
+    monkeypatch.setattr(confirmation, "saved", lambda df, label: kept.append(label) or df)
+    store.publish(frames, str(tmp_path))
+    seen = []
+    for n in (2, 3):
+        assert confirmation.confirmed(spark, str(tmp_path), *args) == n
+        seen.append(versions.snapshot(spark, str(tmp_path)).tables)
+    assert kept.count("decisions") == 1 and seen[0] == seen[1]  # the second time nothing is written
