@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import receipts, versions
+from tallyforge.sources.adapters import new_folder
 
 #: Review states of lines that a new parse replaces, and what is said of a text without content.
 UNCONFIRMED, EMPTY = ("pending", "rejected"), "rawText assente o vuoto"
@@ -18,24 +19,26 @@ BATCHES = "number bigint"
 
 
 def parsed(texts: DataFrame) -> DataFrame:
-    """texts (process_id, text) with supplier, day and total of the receipt and its items (description, line_total, confidence)."""
-    rows = texts.withColumn("lines", receipts.lines_of(F.col("text")))
-    fields = rows.select("process_id", receipts.supplier()["value"].alias("supplier"), receipts.date()["value"].alias("day"), receipts.total()["value"].alias("total"), receipts.line_items().alias("items"))
+    """texts (process_id, text, further columns; together by process) with supplier, day and total of the receipt and its items (description, line_total, confidence) in place of the text."""
     item = lambda x: F.struct(x["description"].alias("description"), x["line_total"].alias("line_total"), x["confidence"].cast("int").alias("confidence"))
-    return fields.withColumn("items", F.transform("items", item))
+    rows = receipts.fields(texts, ["supplier", "date", "total", "items"], key=["process_id"])
+    return rows.select(*[c for c in texts.columns if c != "text"], F.col("supplier.value").alias("supplier"), F.col("date.value").alias("day"), F.col("total.value").alias("total"), F.transform("items", item).alias("items"))
 
 
-def merge(tables: dict[str, DataFrame], texts: DataFrame, number: int) -> dict[str, DataFrame]:
+def merge(tables: dict[str, DataFrame], texts: DataFrame, number: int, folder: str | None = None) -> dict[str, DataFrame]:
     """The new state of TABLES after a batch of texts (process_id, text).
 
     processes: id, status, error, supplier, day, total, replaced, kept (lines of the last parse); lines: id, process_id, position, description, line_total, confidence, review_status; batches: number.
     Of several texts of a process the greatest counts; texts of unknown processes do nothing; a text without content marks its process as failed and leaves its lines.
-    New lines have ids of process, batch and position, so no id comes twice, and are pending.
+    New lines have ids of process, batch and position, so no id comes twice, and are pending. Texts are brought together and parsed once, into `folder`; the new tables are made from there.
     """
     known = tables["processes"].select(F.col("id").alias("process_id")).hint("merge")  # ids compress well and look small: none of these sides is ever broadcast
     texts = texts.groupBy("process_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).join(known, "process_id", "left_semi")
-    empty = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
-    done = parsed(texts.where(~empty))
+    folder = folder or new_folder(tables["processes"].sparkSession, "parsed")
+    once = parsed(texts.withColumn("empty", F.trim(F.regexp_replace("text", r"\s+", " ")) == ""))
+    once.write.parquet(folder)
+    once = once.sparkSession.read.schema(once.schema).parquet(folder)
+    done = once.where(~F.col("empty")).drop("empty")
     # what goes and what stays of the lines that are there
     lines = tables["lines"].join(done.select("process_id", F.lit(True).alias("_again")).hint("merge"), "process_id", "left")
     goes = F.coalesce("_again", F.lit(False)) & F.col("review_status").isin(*UNCONFIRMED)
@@ -46,7 +49,7 @@ def merge(tables: dict[str, DataFrame], texts: DataFrame, number: int) -> dict[s
         F.col("x.line_total").cast(tables["lines"].schema["line_total"].dataType).alias("line_total"), F.col("x.confidence").alias("confidence"), F.lit("pending").alias("review_status"),
     )
     states = done.select("process_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), "supplier", "day", "total").join(counts.hint("merge"), "process_id", "left")
-    failed = texts.where(empty).select("process_id", F.lit("failed").alias("status"), F.lit(EMPTY).alias("error"))
+    failed = once.where("empty").select("process_id", F.lit("failed").alias("status"), F.lit(EMPTY).alias("error"))
     now = states.unionByName(failed, allowMissingColumns=True)
     changed = F.struct(*[F.col(c) for c in now.columns if c != "process_id"])
     old = tables["processes"]
@@ -70,15 +73,21 @@ class _Applied(Exception):
 def apply_batch(spark: SparkSession, root: str, texts: DataFrame, number: int) -> int | None:
     """Merge a batch into a store once: the new version, or None if the batch is there already."""
 
+    folders: list[str] = []
+
     def change(snap: versions.Snapshot) -> dict[str, DataFrame]:
         if not snap.read("batches").where(F.col("number") == number).isEmpty():
             raise _Applied
-        return merge({t: snap.read(t) for t in TABLES}, texts, number)
+        folders.append(new_folder(spark, "parsed"))
+        return merge({t: snap.read(t) for t in TABLES}, texts, number, folders[-1])
 
     try:
         return versions.transact(spark, root, change)
     except _Applied:
         return None
+    finally:
+        for folder in folders:
+            versions.Files(spark, folder).delete(folder)
 
 
 def stream(texts: DataFrame, root: str, checkpoint: str) -> StreamingQuery:

@@ -48,3 +48,15 @@ def test_merge_broadcasts_nothing(spark, tmp_path):
     out = parsing.merge({t: now.read(t) for t in parsing.TABLES}, spark.read.parquet(f"{tmp_path}/texts"), 1)
     for name in ("processes", "lines"):
         assert "BroadcastExchange" not in out[name]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_and_parsed_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.publish({"processes": spark.createDataFrame([(p,) + (None,) * 7 for p in "ab"], PROCESSES), "lines": spark.createDataFrame([], LINES), "batches": spark.createDataFrame([], parsing.BATCHES)}, root)
+    spark.createDataFrame([("a", receipt(("LATTE FRESCO", "1,50"))), ("b", " ")], TEXTS).write.parquet(f"{tmp_path}/texts")
+    now = versions.snapshot(spark, root)
+    out = parsing.merge({t: now.read(t) for t in parsing.TABLES}, spark.read.parquet(f"{tmp_path}/texts"), 1, f"{tmp_path}/parsed")
+    for name in ("processes", "lines"):
+        plan = out[name]._jdf.queryExecution().executedPlan().toString()
+        assert f"{tmp_path}/texts" not in plan and "regexp_extract" not in plan and f"{tmp_path}/parsed" in plan
+    assert {r.id: r.status for r in out["processes"].collect()} == {"a": "completed", "b": "failed"}

@@ -308,3 +308,15 @@ def test_candidates_of_a_field_are_made_once(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert [p.__name__ for p, n in reads.items() if n > most[p]] == []
+
+
+def test_rows_and_arrays_of_lines_give_the_same_fields(spark):
+    words = ["PANE", "x", "500 g", "A", "SCONTO -0,30", "COUPON 1,00", "RESO", "TOTALE EURO 5,00", "SUBTOTALE", "RESTO", "CARTA", "VIA ROMA 1", "P.IVA 01234567897", "DATA 12/05/2026", "3.4.25", "ORE 14:30", "MELE 2 x 1,50", "€", "  ", "***", "20100 MILANO", "IVA 22% 1,10", "12,345,67", "0,00", "2,00-", "*- ", "1"]
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choices(words, k=rng.randint(0, 3))) + rng.choice(["", f" {rng.randint(0, 20)},{rng.randint(0, 99):02d}"])
+    texts = [(i % 150, None if i == 7 else "\n".join(line() for _ in range(rng.randint(0, 16)))) for i in range(300)]  # two receipts for each key
+    df = spark.createDataFrame(texts, "id int, text string")
+    names = sorted(receipts.PARSERS)
+    rows = receipts.fields(df, names, key=["id"]).select("id", F.to_json(F.struct("lines", *names)).alias("j"))
+    arrays = df.withColumn("lines", receipts.lines_of(F.col("text"))).select("id", F.to_json(F.struct("lines", *[receipts.PARSERS[n]().alias(n) for n in names])).alias("j"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, arrays.collect()))
