@@ -302,7 +302,7 @@ def file_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supplier_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    df = rendered(spark, d).withColumn("lines", receipts.lines_of(F.col("text"))).select("order_id", receipts.supplier()["alternatives"].alias("a"))
+    df = receipts.fields(rendered(spark, d), ["supplier"], key=["order_id"]).select("order_id", F.col("supplier.alternatives").alias("a"))
     return df.select("order_id", F.size("a").alias("n"), F.get("a", 0).alias("second"), F.get("a", 1).alias("third"))
 
 
@@ -314,8 +314,7 @@ def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def receipt_duplicate_lines(spark: SparkSession, d: str) -> DataFrame:
-    flags = receipts.parse(rendered(spark, d), now="2004-06-30").select("order_id", F.explode_outer("flags").alias("flag"))  # a test of the array would parse twice
-    return flags.where("flag = 'POSSIBLE_DUPLICATE_LINES'").select("order_id")
+    return receipts.fields(rendered(spark, d), ["items"], key=["order_id"]).where(receipts.repeated(F.col("items"))).select("order_id")
 
 
 _MONTH = "list_extract(['Gennaio', 'Febbraio', 'Marzo', 'Aprile', 'Maggio', 'Giugno', 'Luglio', 'Agosto', 'Settembre', 'Ottobre', 'Novembre', 'Dicembre'], CAST(({0} - 1) % 12 AS INT) + 1)"

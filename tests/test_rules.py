@@ -320,3 +320,12 @@ def test_rows_and_arrays_of_lines_give_the_same_fields(spark):
     rows = receipts.fields(df, names, key=["id"]).select("id", F.to_json(F.struct("lines", *names)).alias("j"))
     arrays = df.withColumn("lines", receipts.lines_of(F.col("text"))).select("id", F.to_json(F.struct("lines", *[receipts.PARSERS[n]().alias(n) for n in names])).alias("j"))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, arrays.collect()))
+
+
+def test_repeated_items_need_no_other_field(spark):
+    from tallyforge.plans import screen_plans
+
+    plan = screen_plans.receipt_duplicate_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "PAGOBANCOMAT" not in plan and plan.count("aggregate(") == 1  # one fold of the items, no look for a payment
+    two = spark.createDataFrame([("PANE 1,00\npane 1,00",), ("PANE 1,00\nPANE 2,00",)], "text string")
+    assert [r[0] for r in receipts.fields(two.coalesce(1), ["items"]).select("text", receipts.repeated(F.col("items")).alias("r")).orderBy("text").select("r").collect()] == [False, True]
